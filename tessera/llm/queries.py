@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, rules
 from .common import table
 from .huffman import token_files
+from .minhash import COMPONENT_SQL, near_duplicates
 from .mixing import mix
 from .packing import pack
 
@@ -41,15 +42,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("parts")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_chat_format": op3_chat_format,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
+    "op8_minhash": op8_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.DIGEST_SQL,
     "op5_quality_rules": rules.VERDICT_SQL,
+    "op8_minhash": COMPONENT_SQL,
 }
