@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, rules
+from . import chat, embeddings, quality, rules
 from .common import table
 from .huffman import token_files
 from .minhash import COMPONENT_SQL, near_duplicates
@@ -51,13 +51,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
     "op3_chat_format": op3_chat_format,
+    "op4_quality_fm": op4_quality_fm,
     "op5_quality_rules": op5_quality_rules,
     "op6_mixing": op6_mixing,
     "op8_minhash": op8_minhash,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
@@ -65,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat.DIGEST_SQL,
     "op5_quality_rules": rules.VERDICT_SQL,
     "op8_minhash": COMPONENT_SQL,
+    "op9_embedding_dedup": embeddings.LINK_SQL,
 }
