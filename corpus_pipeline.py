@@ -1,10 +1,103 @@
-"""The corpus pipeline: quality, near-duplicates, personal data, mixing, packing."""
+"""The corpus pipeline: quality, near-duplicates, personal data, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all
+but the last return the columns of documents. ``run`` writes each stage's result as
+Parquet to the shared folder and rereads it, which cuts the lineage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import minhash, mixing, pii, quality
+from tessera.llm.common import Scratch, table
+from tessera.llm.packing import pack
+from tessera.llm.queries import definition
+from tessera.llm.words import blocks, word_runs
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine scores at 0.5 or more. The machine learns
+    from the whole documents table's labelled rows, as op4 does."""
+    machine = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine, [c for c in docs.columns if c != "doc_id"]).where("score >= 0.5").select(docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8): the smallest id.
+    A null doc_id is in no group and stays."""
+    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its personal data masked."""
+    return pii.mask_documents(docs)
+
+
+def _cut(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The stretches of words that the mix takes, as texts: copy c of a document holds the
+    stretches taken c times or more; a document taken whole stays as it is."""
+    schema = docs.select(columns).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("parts").to_pylist()
+            rows, texts = [], []
+            for lo, hi, b, off in blocks(batch.column("text")):
+                raw = b.tobytes()
+                start, _, doc = word_runs(b, off)
+                first = doc.searchsorted(range(hi - lo + 1), "left")
+                for k in range(hi - lo):
+                    own = start[first[k] : first[k + 1]].tolist()
+                    edge = [int(off[k]), *own[1:], int(off[k + 1])]  # word w runs from edge[w] to edge[w + 1]
+                    for copy in range(1, max((p["times"] for p in parts[lo + k]), default=0) + 1):
+                        rows.append(lo + k)
+                        texts.append("".join(raw[edge[p["start"]] : edge[p["end"]]].decode() for p in parts[lo + k] if p["times"] >= copy))
+            at = pa.array(rows, pa.int64())
+            cols = []
+            for f in schema.fields:
+                if f.name == "text":
+                    cols.append(pa.array(texts, pa.string()))
+                elif f.name == "n_chars":
+                    cols.append(pa.array([len(t) for t in texts], pa.int64()))
+                else:
+                    cols.append(batch.column(f.name).take(at))
+            yield pa.record_batch(cols, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: a document comes up to three times, cut at the mix's blocks."""
+    mixed = mixing.mix(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")], keep_source=True)
+    return _cut(mixed, docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 ids, with their ids."""
+    return pack(docs, definition("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", dedup_stage),
+    ("PII", pii_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL states neither the fitted models nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k + 1}")
+        if k:
+            scratch.drop(f"stage{k}")
+    return docs

@@ -97,12 +97,13 @@ def _div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
-def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, keep_source: bool = False) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and ``parts``, the stretches of
     words [start, end) of the text to take, each with its number of times. `carry` names
-    further columns to keep."""
+    further columns to keep, `keep_source` the source."""
     spark = docs.sparkSession
     carry = carry or []
+    keep = [] if "source" in carry else ["source"] * keep_source
     scratch = Scratch(spark, "mixing")
     rows = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size_"))
     rows = scratch.write(rows, "rows")
@@ -151,4 +152,4 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, .
     parts = F.when((F.col("size_") > 0) & F.col("words").isNotNull(), F.filter(F.transform(F.sequence(first, last), part), lambda p: p["times"] > 0)).otherwise(none)
     out = laid.withColumn("parts", parts)
     taken = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + (p["end"] - p["start"]) * p["times"])
-    return out.select("doc_id", *carry, F.col("size_").alias("size"), "source_size", "target", taken.alias("taken"), "parts")
+    return out.select("doc_id", *carry, *keep, F.col("size_").alias("size"), "source_size", "target", taken.alias("taken"), "parts")
