@@ -1,8 +1,8 @@
 """Exact bulk tokenisation with the public ``tokenizers`` library.
 
 Both vocabularies split a text into pieces before any merge, and no piece
-crosses white space.  A batch is therefore cut into white-space chunks with
-NumPy, the distinct chunks are found by Arrow's hash table, the library encodes
+crosses white space or the border of ASCII letters or digits and punctuation.  A
+batch is therefore cut into such chunks with NumPy, the distinct chunks are found by Arrow's hash table, the library encodes
 each chunk it has not seen lately, and the id sequence is gathered back.  Texts
 holding white space outside ASCII are given to the library whole.
 """
@@ -16,9 +16,16 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; bounds the memory of a task.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Chunks remembered per generation (two generations per Python worker).
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000
+
+
+_CODE = np.arange(256)
+_ALNUM = ((_CODE >= 48) & (_CODE <= 57)) | ((_CODE >= 65) & (_CODE <= 90)) | ((_CODE >= 97) & (_CODE <= 122))
+#: ASCII punctuation but the apostrophe, which contractions hold.
+_PUNCT = (_CODE > 32) & (_CODE < 127) & ~_ALNUM & (_CODE != 39)
+_LOWER = np.where((_CODE >= 65) & (_CODE <= 90), _CODE + 32, _CODE).astype(np.uint8)
 
 
 def utf8_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +75,7 @@ class Encoder:
         pre = json.dumps(model.get("pre_tokenizer") or {})
         # white space is kept by the byte-level scheme and dropped by the word scheme
         self.keeps_space = '"Removed"' not in pre
+        self.lower = '"Lowercase"' in json.dumps(model.get("normalizer") or {})
         self.young: dict[bytes, int] = {}
         self.old: dict[bytes, int] = {}
         self._reset_store()
@@ -106,16 +114,21 @@ class Encoder:
         self.n_chunks += len(length)
         return first
 
-    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat: list[int] = []
-        length = np.empty(len(texts), np.int64)
+    def _library(self, texts: list[str], alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after another, and how many each has. Chunks go in as the words of
+        one input (a call's overhead is larger than a word's merges); whole texts alone."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if alone:
+            each = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.array(sum(each, []), np.uint32), np.array([len(x) for x in each], np.int64)
+        flats, lengths = [], []
         for i in range(0, len(texts), 4096):
-            part = self.tok.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)
-            for k, e in enumerate(part):
-                ids = e.ids
-                flat += ids
-                length[i + k] = len(ids)
-        return np.array(flat, np.uint32), length
+            part = texts[i : i + 4096]
+            e = self.tok.encode(part, is_pretokenized=True, add_special_tokens=False)
+            flats.append(np.array(e.ids, np.uint32))
+            lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
+        return np.concatenate(flats), np.concatenate(lengths)
 
     def _index(self, chunks: list[bytes]) -> np.ndarray:
         """Place of each distinct chunk in the store."""
@@ -155,6 +168,8 @@ class Encoder:
 
     def _block(self, b: np.ndarray, off: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         n_docs = len(off) - 1
+        if self.lower:  # ASCII case is gone anyway; fewer distinct chunks
+            b = _LOWER[b]
         bounds, kept = self._bounds(b, off)
         odd = _odd_space(b)
         whole = np.unique(np.searchsorted(off, odd, "right") - 1) if len(odd) else odd
@@ -172,7 +187,7 @@ class Encoder:
         ids = self.ids
         if len(whole):
             texts = [bytes(b[off[d] : off[d + 1]]).decode() for d in whole]
-            flat, size = self._library(texts)
+            flat, size = self._library(texts, alone=True)
             ends = np.cumsum(size)
             start = np.concatenate([start, self.n_ids + ends - size])
             ids = np.concatenate([ids[: self.n_ids], flat])
@@ -196,6 +211,9 @@ class Encoder:
         space = (b == 32) | ((b >= 9) & (b <= 13))
         begins = np.zeros(n + 1, bool)
         begins[off] = True
+        # both schemes part letters or digits from punctuation
+        alnum, punct = _ALNUM[b], _PUNCT[b]
+        begins[1:n] |= (alnum[1:] & punct[:-1]) | (punct[1:] & alnum[:-1])
         prev = np.empty(n, bool)
         prev[0] = False
         prev[1:] = space[:-1]

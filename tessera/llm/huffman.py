@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, utf8_buffers
+from .bpe import BLOCK_BYTES, encoder, utf8_buffers
 from .common import Scratch, spread
 
 #: Longest code in bits; the decoding table has 2**LIMIT entries.
@@ -68,14 +68,20 @@ def runs(docs: DataFrame, definition: str, end_id: int, parts: int) -> DataFrame
             data, off = utf8_buffers(batch.column("text"))
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 19), "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK_BYTES, "right")) - 1)
                 flat, n = enc.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end_id)
-                docs_.append(batch.column("doc_id").slice(lo, hi - lo).to_pylist())
-                flats.append(flat)
-                sizes.append(n)
-                state["held"] += len(flat)
-                if state["held"] >= SEGMENT:
-                    yield flush()
+                ids, ends = batch.column("doc_id").slice(lo, hi - lo).to_pylist(), np.append(0, np.cumsum(n))
+                a = 0
+                while a < len(n):  # as many documents as fill the segment
+                    z = min(len(n), int(np.searchsorted(ends, ends[a] + SEGMENT - state["held"], "left")))
+                    z = max(z, a + 1)
+                    docs_.append(ids[a:z])
+                    flats.append(flat[ends[a] : ends[z]])
+                    sizes.append(n[a:z])
+                    state["held"] += int(ends[z] - ends[a])
+                    if state["held"] >= SEGMENT:
+                        yield flush()
+                    a = z
                 lo = hi
         if flats:
             yield flush()

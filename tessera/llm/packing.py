@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, utf8_buffers
+from .bpe import BLOCK_BYTES, encoder, utf8_buffers
 from .common import Scratch, spread
 
 CAPACITY = 2048
@@ -54,7 +54,7 @@ def tokenised(docs: DataFrame, definition: str, capacity: int, end_id: int) -> D
             keys = batch.column("doc_id")
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (8 << 20), "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BLOCK_BYTES, "right")) - 1)
                 flat, n = enc.encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], end_id)
                 rem = n % capacity
                 order = np.argsort(rem, kind="stable")
