@@ -23,3 +23,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return _SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["bm25_topk"](spark, sf_dir)
+
+
+from tessera.plans import retrieval  # noqa: E402, F401  (the plans register themselves)
