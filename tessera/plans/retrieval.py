@@ -198,9 +198,10 @@ def chunk_units(s: SparkSession, d: str) -> DataFrame:
 def leak_contamination(s: SparkSession, d: str) -> DataFrame:
     """Benchmark passages most of whose 6-grams a document holds. The n-grams of the passages
     are the smaller side of an equi-join; the documents' grams meet them before any shuffle of pairs."""
-    grams = lambda c: F.explode(T.ngrams(T.tokens(c), 6))
-    q = _bench(s, d).select("qid", F.size(T.ngrams(T.tokens(F.col("text")), 6)).alias("n"), grams(F.col("text")).alias("g"))
-    p = _docs(s, d).select("doc_id", grams(F.col("text")).alias("g"))
+    # tokens are a column of their own: inside the n-gram lambda they would be found again and again
+    qt = _bench(s, d).select("qid", T.tokens(F.col("text")).alias("t")).select("qid", T.ngrams(F.col("t"), 6).alias("g"))
+    q = qt.select("qid", F.size("g").alias("n"), F.explode("g").alias("g"))
+    p = _docs(s, d).select("doc_id", T.tokens(F.col("text")).alias("t")).select("doc_id", F.explode(T.ngrams(F.col("t"), 6)).alias("g"))
     hit = p.join(q, "g").groupBy("qid", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     return hit.where("shared / n > 0.5").select("qid", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("ratio"))
 
