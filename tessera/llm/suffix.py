@@ -304,10 +304,11 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     text = text.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).withColumn("text_hash", F.xxhash64("text"))
     found = scratch.write(phrases(text.select("id", "text_hash", "text"), width), "phrases")
     ends = (F.col("at") + F.col("size") + (width - 1)).alias("end")
-    local = found.where("kind = 1").select("doc_id", "text_hash", F.col("at").alias("start"), ends)
+    local = scratch.write(found.where("kind = 1").select("doc_id", "text_hash", F.col("at").alias("start"), ends), "local")
     parts = spread(spark) * 2
     firsts = found.where("kind = 0").drop("kind").repartition(parts, "trigger").sortWithinPartitions("trigger")
     met = scratch.write(firsts.mapInArrow(_match, _PHRASES + ", kind short"), "met")
+    scratch.drop("phrases")
     across = met.where("kind = 1").select("doc_id", "text_hash", F.col("at").alias("start"), ends)
     wanted = met.where("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("trigger", "at", "lead", "size")).alias("wanted"))
     one = text.select(F.col("id").alias("doc_id"), "text_hash", "text")
