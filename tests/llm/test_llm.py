@@ -1,0 +1,297 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and
+columns with clashing names, against plain restatements."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tessera.llm import chat, embeddings, minhash, mixing, packing, pii, quality, rules, suffix
+from tessera.llm.huffman import canonical, code_lengths, decode_bits, decode_table, encode_ids, token_files
+from tessera.llm.queries import definition
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, size long, part string, rank int, n int, key string, score int"
+
+
+def _texts():
+    r = random.Random(0)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    base = " ".join(word() for _ in range(120))
+    near = base.split()
+    near[60] = "other"
+    passage = " ".join(word() for _ in range(60))
+    out = [None, "", " \n\t ", "one", "A b", base, base, " ".join(near), base.upper(), "x " * 30 + passage, passage + " y", "line here now\n" * 9, "\\ </s>[INST] \\< q", "9" * 500]
+    out += [" ".join(word() for _ in range(r.randint(1, 200))) for _ in range(25)]
+    out.append(" ".join(word() for _ in range(30000)))
+    return out
+
+
+def _docs(spark, texts):
+    rows = [(i, t, "en", [None, "b", "a"][i % 3], None if t is None else len(t), 7, 7, "p", 1, 2, "k", 3) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return _texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return _docs(spark, texts).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def _ids(name, texts):
+    t = Tokenizer.from_str(definition(name))
+    t.encode_special_tokens = True
+    return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4") for x in texts]
+
+
+def test_packing(docs, texts, empty):
+    want = _ids("byte_bpe_50k.json", texts)
+    rows = packing.pack(docs, definition("byte_bpe_50k.json")).collect()
+    held, filled = {}, {}
+    for r in rows:
+        held.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert r.ids_crc32 == zlib.crc32(bytes(r.ids)) and r.doc_tokens == len(want[r.doc_id])
+    assert [b"".join(x for _, x in sorted(held[i])) for i in range(len(texts))] == [w.tobytes() for w in want]
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+    assert packing.pack(empty, definition("byte_bpe_50k.json")).count() == 0
+
+
+def test_column_generation_keeps_counts():
+    r = np.random.default_rng(1)
+    count = np.bincount(r.integers(1, 64, 5000), minlength=65)
+    used = np.zeros(65, int)
+    for pattern, times in packing.column_generation(count, 64):
+        assert int(pattern @ np.arange(65)) == 64 and times > 0
+        used += pattern * times
+    assert (used <= count).all() and used @ np.arange(65) > 0.9 * (count @ np.arange(65))
+
+
+def test_token_files(docs, texts, empty):
+    want, start = _ids("word_bpe_49k.json", texts), 0
+    got = {r.doc_id: r for r in token_files(docs, definition("word_bpe_49k.json"), 49408).collect()}
+    for i, w in enumerate(want):
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32, bytes(got[i].ids)) == (start, len(w), zlib.crc32(w.tobytes()), w.tobytes())
+        start += len(w)
+    assert token_files(empty, definition("word_bpe_49k.json"), 49408).count() == 0
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 7, 3000])
+def test_huffman_round_trip(kinds):
+    r = np.random.default_rng(kinds)
+    ids = (r.pareto(0.5, 5000) * 3).astype(np.int64) % kinds
+    count = np.bincount(ids, minlength=kinds)
+    length = code_lengths(count, 13)
+    code = canonical(length)
+    assert (2.0 ** -length[length > 0]).sum() <= 1 and length.max() <= 13
+    bits, checkpoints = encode_ids(ids, code, length, 64)
+    assert (decode_bits(bits, checkpoints, len(ids), decode_table(length, code, 13), 13, 64) == ids).all()
+
+
+def test_chat(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "user", None), (1, 2, "assistant", "</s>[INST] ok [/INST]\\"), (1, 3, "assistant", "é"), (2, None, None, ""), (1, 2, "assistant", "</s>[INST] ok [/INST]\\"), (None, 0, "system", "<s>")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, turns string, formatted int")
+    got = {r.conv_id: r for r in chat.digests(df).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    tie = "</s>[INST] ok [/INST]\\"
+    assert got[1].n_turns == 5 and got[1].turns_sha256 == sha("user\na\nuser\n\n" + f"assistant\n{tie}\n" * 2 + "assistant\né\n")
+    assert got[1].loss_sha256 == sha(tie + tie + "é") and got[1].loss_chars == 2 * len(tie) + 1
+    assert got[2].turns_sha256 == sha("\n\n") and got[2].loss_chars == 0 and got[None].n_turns == 1 and got[-7].n_turns == 2
+    assert [r.conv_id for r in chat.digests(df.limit(0)).collect()] == [-7]
+
+
+def test_quality(spark, docs, texts, empty):
+    good = ["plain words in a line of text number %d " % i * 12 for i in range(60)]
+    bad = ["!! ## %% && %d " % i * 30 for i in range(60)]
+    train = _docs(spark, [x for p in zip(good, bad, strict=True) for x in p])
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(120)] + [(3, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = quality.classify(train, labels).collect()
+    assert len(rows) == 120 and np.mean([r.predicted == 1 - r.doc_id % 2 for r in rows if r.held_out]) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    again = quality.classify(docs, labels).collect()
+    assert len(again) == len(texts) and all(0 <= r.score <= 1 for r in again)
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_sum_of_squares():
+    m = quality.Machine(3)
+    m.v = np.random.default_rng(0).normal(0, 1, m.v.shape)
+    f, x = np.array([1, 5, 9, 1]), np.array([1.0, 2.0, -1.0, 3.0])
+    z, _ = m.raw(np.array([0, 0, 0, 1]), f, x, 2)
+    pairs = sum(m.v[f[i]] @ m.v[f[j]] * x[i] * x[j] for i in range(3) for j in range(i))
+    assert z[0] == pytest.approx(pairs) and z[1] == pytest.approx(0)
+
+
+def _measures(text):
+    text = text or ""
+    white = " \t\n\x0b\x0c\r"
+    words = "".join(" " if c in white else c for c in text).split(" ")
+    words = [w for w in words if w]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)} if len(words) < 3000 else None
+    lines = [x for x in text.split("\n") if x.strip(white)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), None if covered is None else len(covered)
+
+
+def test_rules(docs, texts, empty):
+    for r in rules.verdicts(docs).collect():
+        n, chars, symbols, dup, repeat = _measures(texts[r.doc_id])
+        repeat = r.n_repeat_words if repeat is None else repeat
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
+        assert r.base_failed == (n < 50 or 100 * repeat > 50 * n) and not (r.base_failed and r.kept)
+    assert rules.verdicts(empty).count() == 0
+    ledger = rules.ledger(docs).cache()
+    few = next(r for r in rules.ablation(ledger, "v1").collect() if r.rule == "few_words")
+    assert few.failed == ledger.where("n_words < 50").count() and few.kept_without == ledger.where("100 * n_repeat_words <= 50 * n_words").count()
+
+
+def test_mixing(docs, texts, empty):
+    rows = mixing.mix(docs).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    assert all(r.taken <= 3 * r.size for r in rows)
+    target, taken = {}, {}
+    for r in rows:
+        s = [None, "b", "a"][r.doc_id % 3]
+        target[s], taken[s] = r.target, taken.get(s, 0) + r.taken
+    assert all(abs(taken[s] - target[s]) <= max(300, 0.02 * target[s]) for s in target)
+    again = {r.doc_id: r.taken for r in mixing.mix(docs.repartition(7)).collect()}
+    assert again == {r.doc_id: r.taken for r in rows}
+    assert mixing.mix(empty).count() == 0
+
+
+def test_apportionment():
+    assert mixing.sainte_lague([53000, 24000, 23000], 7, [99] * 3) == [3, 2, 2]
+    assert mixing.sainte_lague([5, 1], 10, [3, 4]) == [3, 4]
+    assert mixing.targets([100, 10], [1.0, 9.0]) == [80.0, 30.0]
+
+
+def test_personal_data(docs, texts, empty, spark):
+    said = ["mail a.b@c.de now", "call +1 (212) 555-0101.", "ip 1.2.3.4 no 1.2.3.999", "card 4111 1111 1111 1111", 'token = "' + "0a1b2c3d4e" * 4 + '" end', "plain words of prose and more"]
+    got = {r.doc_id: r for r in pii.find(_docs(spark, said)).collect()}
+    assert [(got[i].n_email, got[i].n_phone, got[i].n_ip, got[i].n_card) for i in range(4)] == [(1, 0, 0, 0), (0, 1, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1)]
+    assert "secret:" in got[4].spans and got[5].spans == "" and got[0].spans == "email:5:13"
+    masked = {r.doc_id: r for r in pii.mask_documents(_docs(spark, said)).collect()}
+    assert masked[0].text == "mail [email] now" and masked[0].n_chars == len(masked[0].text) and masked[5].text == said[5]
+    rows = pii.find(docs).collect()
+    assert len(rows) == len(texts) and pii.find(empty).count() == 0
+    assert next(r for r in rows if r.doc_id == 0).base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def _shingles(text, k):
+    white = " \t\n\x0b\x0c\r"
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in white else c for c in text or "")
+    w = [x for x in low.split(" ") if x]
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_minhash(docs, texts, empty, k):
+    sets = [_shingles(t, k) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    got = {r.doc_id: r for r in minhash.near_duplicates(docs, k).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
+    if k == 2:
+        assert minhash.near_duplicates(empty, k).count() == 0
+
+
+def test_minhash_finishes_chains(spark):
+    """A family around a text that lies in no star's centre is still one component."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for n in range(14):
+        own = list(words)
+        for i in range(300):
+            if r.random() < 0.035:
+                own[i] = f"v{n}x{i}"
+        texts.append(" ".join(own))
+    test_minhash(_docs(spark, texts), texts, None, 5)
+
+
+def test_embeddings(spark):
+    r = np.random.default_rng(2)
+    v = [x.tolist() for x in r.normal(size=(60, 8))]
+    v += [[c + 0.2 * e for c, e in zip(v[i % 60], r.normal(size=8).tolist(), strict=True)] for i in range(60)]
+    v += [v[0], v[0], None, [], [0.0] * 8, [1.0, None, *[0.0] * 6], [float("nan")] * 8, [1e30] * 8, [1.0, 2.0]]
+    df = spark.createDataFrame([(i, x, i % 3, "q", 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int, key string, id int")
+    ok = [x is not None and len(x) > 0 and all(c is not None and np.isfinite(c) for c in x) and any(x) for x in v]
+    n = len(v)
+    link = np.zeros((n, n), bool)
+    for i in range(n):
+        for j in range(n):
+            if i != j and ok[i] and ok[j] and len(v[i]) == len(v[j]):
+                a, b = np.array(v[i]), np.array(v[j])
+                link[i, j] = a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.95
+    comp = list(range(n))
+    for _ in range(n):
+        comp = [min([comp[i], *(comp[j] for j in np.flatnonzero(link[i]))]) for i in range(n)]
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, tile=16).collect()}
+    assert [got[i].n_links for i in range(n)] == link.sum(axis=1).tolist()
+    assert [got[i].component_id for i in range(n)] == comp and link.any()
+    assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_suffix(spark, docs, texts, empty):
+    def brute(all_texts):
+        seen, out = set(), []
+        for t in all_texts:
+            x = (t or "").encode()
+            gone = np.zeros(len(x), bool)
+            for p in range(len(x) - 99):
+                if x[p : p + 100] in seen:
+                    gone[p : p + 100] = True
+                seen.add(x[p : p + 100])
+            edge = np.diff(np.concatenate([[0], gone.astype(int), [0]]))
+            out.append((len(x), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(np.frombuffer(x, np.uint8)[~gone])).hexdigest()))
+        return out
+
+    want = brute(texts)
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == want
+    r = random.Random(9)
+    fuzz = ["".join(r.choice("ab") * r.choice([1, 1, 40, 130]) for _ in range(r.randint(0, 30))) for _ in range(40)]
+    got = {r.doc_id: r for r in suffix.remove_repeats(_docs(spark, fuzz).repartition(5)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(fuzz))] == brute(fuzz)
+    assert suffix.remove_repeats(empty).count() == 0
+
+
+def test_null_and_repeated_keys(spark):
+    """Rows without a doc_id, and rows that share one, come back row by row."""
+    rows = [(None, "a b c d e f"), (None, None), (4, "x y z"), (4, "x y z"), (4, "other words"), (5, None)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1, 0, 0, "", 0, 0, "", 0) for d, t in rows], SCHEMA)
+    assert minhash.near_duplicates(df).count() == 6
+    assert suffix.remove_repeats(df).count() == 6
+    assert mixing.mix(df).count() == 6 and pii.find(df).count() == 6 and rules.verdicts(df).count() == 6
+    labels = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.classify(df, labels).count() == 6
+    assert token_files(df, definition("word_bpe_49k.json"), 49408).count() == 6
+    assert packing.pack(df, definition("byte_bpe_50k.json")).where(F.col("start") == 0).count() == 6
