@@ -24,16 +24,20 @@ def _star(edges: DataFrame, scratch: Scratch, name: str, small: bool) -> DataFra
     return scratch.write(out, name)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every vertex has one edge, to a root: no target is a source."""
+    many = edges.groupBy("u").agg(F.count("*").alias("k")).where("k > 1")
+    below = edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi")
+    return not many.limit(1).count() and not below.limit(1).count()
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """links (a, b) -> (id, component): the smallest id reachable, for every id with a link."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = scratch.write(edges, f"{name}-0")
-    before, k = None, 0
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before, k = now, k + 1
+    k = 0
+    while not _settled(edges):
+        k += 1
         big = _star(edges, scratch, f"{name}-{k}l", small=False)
         edges = _star(big, scratch, f"{name}-{k}s", small=True)
         for old in (f"{name}-{k}l", f"{name}-{k}l-min", f"{name}-{k}s-min", f"{name}-{k - 1}s" if k > 1 else f"{name}-0"):
