@@ -19,8 +19,8 @@ one string, and all but the first place in corpus order are repeats.
 
 Defined results: a null text is empty; texts of fewer than WIDTH bytes lose nothing;
 rows of one doc_id with equal texts are one document (each row gets its result), with
-unequal texts they are ordered by a hash of the text; null doc_ids come first; an
-empty table gives no row; other columns are ignored.
+unequal texts they are ordered by a hash of the text; null doc_ids come first and are
+one doc_id in this; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,6 +125,14 @@ def _first_of(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarr
     return order, begins
 
 
+def _once(order: np.ndarray, begins: np.ndarray, place: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of a key once: repeated rows of a document hold the same places."""
+    fresh = begins.copy()
+    for p in place:
+        fresh[1:] |= p[order][1:] != p[order][:-1]
+    return order[fresh], begins[fresh]
+
+
 def phrases(docs: DataFrame, width: int) -> DataFrame:
     """Phrases by task: `kind` 0 for the first of its kind in the task, 1 for a repeat there."""
 
@@ -134,7 +142,7 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
         def settle() -> pa.RecordBatch:
             t, p, d, x, a, lead, size = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            order, begins = _first_of([t, p], [d, x, a])
+            order, begins = _once(*_first_of([t, p], [d, x, a]), [d, x, a])
             kind = np.where(begins, 0, 1).astype(np.int16)
             cols = [t.view(np.int64), p.view(np.int64), d, x, a.astype(np.int32), lead.astype(np.int16), size.astype(np.int16)]
             return pa.record_batch([*(pa.array(c[order]) for c in cols), pa.array(kind)], names=["trigger", "phrase", "doc_id", "text_hash", "at", "lead", "size", "kind"])
@@ -181,7 +189,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches, "trigger"):
         g = group.combine_chunks()
         t, p, d, x, a = (g.column(c).to_numpy() for c in ("trigger", "phrase", "doc_id", "text_hash", "at"))
-        order, begins = _first_of([t, p], [d, x, a])
+        order, begins = _once(*_first_of([t, p], [d, x, a]), [d, x, a])
         ts = t[order]
         kinds = np.zeros(len(order), np.int16)
         kinds[~begins] = 1

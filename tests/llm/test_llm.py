@@ -284,6 +284,19 @@ def test_suffix(spark, docs, texts, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_suffix_repeated_rows(spark, parts):
+    r = random.Random(3)
+    own, other, passage = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (400, 300, 150))
+    rows = [(4, own + passage), (4, own + passage), (4, own + passage), (None, other), (None, other), (7, passage + other), (7, passage + other), (9, passage + "!" + passage), (9, passage + "!" + passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    want = {4: own + passage, None: other, 7: "", 9: "!"}
+    got = suffix.remove_repeats(df).collect()
+    assert sorted(str(x.doc_id) for x in got) == sorted(str(i) for i, _ in rows)
+    for x in got:
+        assert x.kept_sha256 == hashlib.sha256(want[x.doc_id].encode()).hexdigest(), x
+
+
 def test_null_and_repeated_keys(spark):
     """Rows without a doc_id, and rows that share one, come back row by row."""
     rows = [(None, "a b c d e f"), (None, None), (4, "x y z"), (4, "x y z"), (4, "other words"), (5, None)]
