@@ -5,8 +5,8 @@ field adds spans the patterns miss: it scores candidate segments of up to ``LONG
 tokens by features of the whole span (its shape, digits, checks such as Luhn or octet
 ranges, the words before it), and bounded-entity dynamic programming chooses the
 boundaries and types of a zone jointly. Zones are the tokens around digits, ``@`` and
-key words, cut where three plain words follow each other, so clean prose costs nothing;
-the program is linear in a zone's length. The weights are fitted by gradient ascent on
+key words, cut where three plain words follow each other and nowhere else, so clean prose
+costs nothing; the program is linear in a zone's length and holds no segments. The weights are fitted by gradient ascent on
 the conditional likelihood of seeded sentences made from ``TEMPLATES``.
 
 Types of the field: the base kinds and ``secret`` (keys and tokens). A span that
@@ -22,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -129,36 +129,34 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int, words: l
     return out
 
 
-def _segments(text: str, tokens: list[tuple[int, int]]) -> dict[tuple[int, int], list[int]]:
-    """Features of each candidate segment (first, last token)."""
+def _segments(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[int]]]:
+    """Features of each candidate segment (first, last token), by first, then last."""
     words = [text[a:b].lower() for a, b in tokens]
-    out = {}
     for i in range(len(tokens)):
-        out[i, i] = _features(text, tokens, i, i, words)
+        yield i, i, _features(text, tokens, i, i, words)
         for j in range(i + 1, min(len(tokens), i + LONGEST)):
             if tokens[j][0] - tokens[j - 1][1] > 1:
                 break
             first, last = words[i][0], words[j][-1]
             if (first.isalnum() or first in "+(") and last.isalnum():
-                out[i, j] = _features(text, tokens, i, j, words)
-    return out
+                yield i, j, _features(text, tokens, i, j, words)
 
 
-def _scores(segments: dict[tuple[int, int], list[int]], weights: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
-    out = {}
-    for (i, j), f in segments.items():
-        s = weights[f].sum(axis=0)
-        if j > i:
-            s[0] = -1e9  # plain segments are single tokens
-        out[i, j] = s
-    return out
+def _score(i: int, j: int, features: list[int], weights: np.ndarray) -> np.ndarray:
+    s = weights[features].sum(axis=0)
+    if j > i:
+        s[0] = -1e9  # plain segments are single tokens
+    return s
 
 
-def decode(n: int, scores: dict[tuple[int, int], np.ndarray]) -> list[tuple[int, int, int]]:
-    """The best segmentation: (first, last token, type) of the segments that are not plain."""
+def decode(n: int, segments: Iterable[tuple[int, int, list[int]]], weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The best segmentation: (first, last token, type) of the segments that are not plain.
+
+    Segments come by first token, so what ends before one is settled, and none is held."""
     best, back = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
     best[0] = 0.0
-    for (i, j), s in sorted(scores.items(), key=lambda x: (x[0][1], x[0][0])):
+    for i, j, f in segments:
+        s = _score(i, j, f, weights)
         k = int(np.argmax(s))
         if best[i] + s[k] > best[j + 1]:
             best[j + 1], back[j + 1] = best[i] + s[k], (i, k)
@@ -173,7 +171,7 @@ def decode(n: int, scores: dict[tuple[int, int], np.ndarray]) -> list[tuple[int,
 
 def _gradient(n: int, segments: dict[tuple[int, int], list[int]], gold: dict[tuple[int, int], int], weights: np.ndarray) -> np.ndarray:
     """Observed less expected feature counts (forward and backward sums over segmentations)."""
-    scores = _scores(segments, weights)
+    scores = {(i, j): _score(i, j, f, weights) for (i, j), f in segments.items()}
     ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     begins: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for i, j in scores:
@@ -249,7 +247,7 @@ def model(seed: int = 0, sentences: int = 260, epochs: int = 12, rate: float = 0
         gold = {(first[a], last[b]): TYPES.index(kind) for kind, a, b in gold_spans}
         inside = {t for i, j in gold for t in range(i, j + 1)}
         gold |= {(t, t): 0 for t in range(len(tokens)) if t not in inside}
-        data.append((len(tokens), _segments(text, tokens), gold))
+        data.append((len(tokens), {(i, j): f for i, j, f in _segments(text, tokens)}, gold))
     weights, seen = np.zeros((len(_FEATURES), len(TYPES))), np.full((len(_FEATURES), len(TYPES)), 1e-6)
     for _ in range(epochs):
         r.shuffle(data)
@@ -260,31 +258,47 @@ def model(seed: int = 0, sentences: int = 260, epochs: int = 12, rate: float = 0
     return weights
 
 
-_WORD = re.compile(r"\s*\S+")
+#: The rest of a word and three more; a run without blanks counts as words of 400 characters.
+_ON = re.compile(r"\S{0,400}(?:\s{0,400}\S{1,400}){0,3}")
+_REST = re.compile(r"\S{0,400}")
 _TRIGGER = re.compile(r"[0-9@]|\b(?:token|key|secret|password|passwd|apikey|bearer)\b", re.IGNORECASE)
+_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def _zones(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches around triggers: back over two words, on until three words in a row hold no
+    trigger. Stretches that meet are one zone, and no bound splits a token."""
+    start, end, word = 0, -1, 0  # the zone, and the end of its last trigger's word
+    for m in _TRIGGER.finditer(text):
+        if m.end() <= word:
+            continue
+        if m.start() >= end:
+            lo = m.start()
+            for _ in range(3):  # to a blank, or over 40 characters without one
+                back = max(0, lo - 40)
+                lo = max(text.rfind(" ", back, lo), text.rfind("\n", back, lo), back)
+            while lo > max(0, end) and text[lo - 1] in _LETTERS and text[lo] in _LETTERS:
+                lo -= 1
+            if lo > end:
+                if end >= 0:
+                    yield start, end
+                start = lo
+        word, hi = _REST.match(text, m.end()).end(), _ON.match(text, m.end()).end()
+        if hi > end:
+            while hi < len(text) and text[hi - 1] in _LETTERS and text[hi] in _LETTERS:
+                hi += 1
+            end = hi
+    if end >= 0:
+        yield start, end
 
 
 def field_spans(text: str, weights: np.ndarray) -> list[Span]:
     """Spans the field finds in a text."""
     out: list[Span] = []
-    at, end = 0, len(text)
-    while m := _TRIGGER.search(text, at):
-        # the zone: back over two words, on until three words in a row hold no trigger
-        lo = m.start()
-        for _ in range(3):
-            lo = max(text.rfind(" ", max(at, lo - 40), lo), text.rfind("\n", max(at, lo - 40), lo), at)
-        hi, plain = m.start(), 0
-        while hi < end and plain < 3 and hi - lo < 4000:
-            gap = _WORD.match(text, hi, min(end, hi + 400))
-            if not gap:
-                break
-            plain = 0 if _TRIGGER.search(gap[0]) else plain + 1
-            hi = gap.end()
+    for lo, hi in _zones(text):
         tokens = [t.span() for t in _TOKEN.finditer(text, lo, hi)]
-        if tokens:
-            found = decode(len(tokens), _scores(_segments(text, tokens), weights))
-            out += [(TYPES[k], tokens[i][0], tokens[j][1]) for i, j, k in found]
-        at = max(hi, m.end())
+        found = decode(len(tokens), _segments(text, tokens), weights)
+        out += [(TYPES[k], tokens[i][0], tokens[j][1]) for i, j, k in found]
     return out
 
 

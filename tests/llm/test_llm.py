@@ -3,6 +3,7 @@ columns with clashing names, against plain restatements."""
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -194,6 +195,23 @@ def test_personal_data(docs, texts, empty, spark):
     assert next(r for r in rows if r.doc_id == 0).base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+@pytest.mark.parametrize("before", [5800, 41, 300])
+@pytest.mark.parametrize("ruler", ["x" * 45, "-" * 60, "https://example.org/" + "a/" * 40, "字" * 200])
+def test_personal_data_after_long_text(before, ruler):
+    prose = ("plain words of prose and more " * 200)[:before]
+    text = f"{prose} {ruler} (212) 555-0101 and so on"
+    at = text.index("(212)")
+    assert pii.all_spans(text, pii.model())[1] == [("phone", at, at + 14)]
+
+
+def test_personal_data_in_dense_numbers():
+    """No cut falls into a value, wherever it lies in a long run of numbers."""
+    for shift in range(3):
+        text = "x" * shift + " " + "; ".join(f"row {k} is (212) 555-{k:04}" for k in range(400)) + " end"
+        want = [("phone", m.start(), m.end()) for m in re.finditer(r"\(212\) 555-[0-9]{4}", text)]
+        assert [s for s in pii.all_spans(text, pii.model())[1] if s[0] == "phone"] == want
+
+
 def _shingles(text, k):
     white = " \t\n\x0b\x0c\r"
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in white else c for c in text or "")
