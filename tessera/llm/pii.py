@@ -4,10 +4,12 @@ The base finders (email, ip, card, phone) are fixed patterns and their spans sta
 field adds spans the patterns miss: it scores candidate segments of up to ``LONGEST``
 tokens by features of the whole span (its shape, digits, checks such as Luhn or octet
 ranges, the words before it), and bounded-entity dynamic programming chooses the
-boundaries and types of a zone jointly. Zones are the tokens around digits, ``@`` and
-key words, cut where three plain words follow each other and nowhere else, so clean prose
-costs nothing; the program is linear in a zone's length and holds no segments. The weights are fitted by gradient ascent on
-the conditional likelihood of seeded sentences made from ``TEMPLATES``.
+boundaries and types of a zone jointly. Zones are the tokens around digits, ``@``,
+key words and addresses said in words ("at ... dot"; a bare "at" before a domain written
+with points is prose), cut where three plain words follow each other and nowhere else, so
+clean prose costs nothing; the program is linear in a zone's length and holds no segments.
+The weights are fitted by gradient ascent on the conditional likelihood of seeded
+sentences made from ``TEMPLATES``.
 
 Types of the field: the base kinds and ``secret`` (keys and tokens). A span that
 overlaps a base span is dropped.
@@ -198,11 +200,12 @@ def _gradient(n: int, segments: dict[tuple[int, int], list[int]], gold: dict[tup
     return out
 
 
-#: Sentences the field learns from: {kind} is a sampled value, w a plain word.
+#: Sentences the field learns from: {kind} is a sampled value ({said} an email), w a plain word.
 TEMPLATES = [
     "w w w {email} w w", "w {email} w. w", "w w {ip} w w", "w | {ip} | w", "w. {phone} w w", "w {phone}, w", "w w {card} w. w", "w {card} w w",
     'w token = "{secret}" w w', "w w key: {secret} w", "password={secret} w w", "w w w w w. w", "w {number} w, w", "w {long} w w", "w w {year} w ({small}) w", "w {version} w w", "w {long}. w", "w w {half} w", "w: {small}, {small} w {year}",
     "w*** w%%% w### {ip} w&&& w$$$ w***", 'w### w*** token = "{secret}"### w&&& w%%%', "w%%% w$$$ {phone}%%% w### w", "w&&& w### {number} w*** w%%% w", "W!! W!! {card}!! w!! w!!", "w | w at w | {small} | w dot w | w",
+    "w w {said} w w", "w {said}, w w",
 ]
 
 
@@ -211,6 +214,8 @@ def _value(kind: str, r: random.Random) -> str:
     word = lambda: "".join(r.choice("aeinorstlu") for _ in range(r.randint(2, 9)))
     if kind == "email":
         return r.choice([f"{word()}.{d(2)}@{word()}{d(1)}.{word()}.com", f"{word()}@{word()}.org", f"{word()} at {word()} dot com"])
+    if kind == "said":  # longer ways to say an address
+        return r.choice([f"{word()} (at) {word()} (dot) org", f"{word()}.{word()} [at] {word()}.{word()}.com", f"{word()}.{word()} at {word()} dot {word()} dot co dot uk", f"{word()} at {word()}-{word()} dot com"])
     if kind == "ip":
         return ".".join(str(r.randint(1, 255)) for _ in range(4))
     if kind == "phone":
@@ -237,8 +242,9 @@ def model(seed: int = 0, sentences: int = 260, epochs: int = 12, rate: float = 0
         for piece in re.split(r"(\{\w+\})", TEMPLATES[k % len(TEMPLATES)]):
             if piece.startswith("{"):
                 value = _value(piece[1:-1], r)
-                if piece[1:-1] in TYPES:
-                    gold_spans.append((piece[1:-1], len(text), len(text) + len(value)))
+                kind = {"said": "email"}.get(piece[1:-1], piece[1:-1])
+                if kind in TYPES:
+                    gold_spans.append((kind, len(text), len(text) + len(value)))
                 text += value
             else:
                 text += re.sub(r"\bw\b", lambda _: "".join(r.choice("aeinorstlhdu") for _ in range(r.randint(1, 9))), piece)
@@ -261,7 +267,14 @@ def model(seed: int = 0, sentences: int = 260, epochs: int = 12, rate: float = 0
 #: The rest of a word and three more; a run without blanks counts as words of 400 characters.
 _ON = re.compile(r"\S{0,400}(?:\s{0,400}\S{1,400}){0,3}")
 _REST = re.compile(r"\S{0,400}")
-_TRIGGER = re.compile(r"[0-9@]|\b(?:token|key|secret|password|passwd|apikey|bearer)\b", re.IGNORECASE)
+_LABEL = r"[A-Za-z0-9-]{1,63}+"
+#: Digits, @, key words as tokens, and addresses said: "at", labels, "dot" and a label; with "at" in brackets a point does for "dot".
+_TRIGGER = re.compile(
+    rf"[0-9@]|(?<![A-Za-z0-9])(?:(?:{'|'.join(sorted(_KEY_WORDS))})(?![A-Za-z0-9])"
+    rf"|at[\])]? ?{_LABEL}(?:\.{_LABEL}){{0,9}}+(?: ?[\[(]?dot(?![A-Za-z0-9])[\])]? ?{_LABEL}){{1,9}}+"
+    rf"|(?<=[\[(])at[\])] ?{_LABEL} ?\.{_LABEL})",
+    re.IGNORECASE,
+)
 _LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 
 

@@ -212,6 +212,15 @@ def test_personal_data_in_dense_numbers():
         assert [s for s in pii.all_spans(text, pii.model())[1] if s[0] == "phone"] == want
 
 
+@pytest.mark.parametrize("said", ["anna at example dot org", "anna (at) example (dot) org", "anna [at] example.org", "anna at example-site dot com"])
+def test_personal_data_said_in_prose(said):
+    prose = "plain words of prose and more " * 30
+    at = len(prose) + len("please write to ")
+    assert pii.all_spans(f"{prose}please write to {said} when you are back. {prose}", pii.model())[1] == [("email", at, at + len(said))]
+    for plain in ["we sat at home. The dog drew a dot at noon", "call me by phone about the card or the mail", "the key to the secret"]:
+        assert pii.all_spans(prose + plain, pii.model())[1] == []
+
+
 def _shingles(text, k):
     white = " \t\n\x0b\x0c\r"
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in white else c for c in text or "")
