@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, pii, quality
 from tessera.llm.common import Scratch, table
@@ -27,10 +28,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the smallest id.
-    A null doc_id is in no group and stays."""
-    kept = minhash.near_duplicates(docs, k=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+    """One row of each group of near-duplicates (five words, 0.8): the smallest id, of its texts
+    in the group the one of least hash, of equal texts the least row. Texts without words are
+    in no group, but their repeated rows go; a null doc_id is in no group and stays."""
+    found = minhash.near_duplicates(docs, k=5, percent=80, row_keys=True).where("doc_id IS NOT NULL")
+    grouped = found.where("kept AND component_key IS NOT NULL").groupBy("component_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    chosen = grouped.union(found.where("component_key IS NULL").select("doc_id", "text_hash").distinct())
+    rest = [c for c in docs.columns if c != "doc_id"]
+    hashed = docs.withColumn("text_hash", minhash.text_hash()).join(chosen, ["doc_id", "text_hash"], "left_semi")
+    single = hashed.groupBy("doc_id", "text_hash").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", "row.*").select(docs.columns)
+    return single.union(docs.where("doc_id IS NULL"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

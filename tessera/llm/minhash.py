@@ -1,7 +1,8 @@
 """Near-duplicate documents by one-permutation hashing.
 
 A document's set holds the hashes of its distinct k-word shingles. Documents with one
-set are one class and go on as their smallest id. One-permutation hashing keeps the
+set are one class and go on as a key made from it; a component is named by its smallest
+doc_id. One-permutation hashing keeps the
 least hash of each bin; empty bins are filled by optimal densification (each follows
 its own universal probe sequence to a filled bin). ``BANDS`` bands of ``ROWS`` bins
 give buckets; candidate edges are stars, from the member of a bucket that meets most
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, spread
@@ -127,11 +128,26 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
     return scramble(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-_SIGNED = "doc_id long, n long, digest binary, bands array<long>"
+_SIGNED = "doc_id long, text_hash long, n long, digest binary, bands array<long>"
+
+
+def text_hash() -> Column:
+    """Tells the texts under one doc_id apart."""
+    return F.xxhash64("text")
+
+
+def _digests(sets: list[np.ndarray]) -> pa.Array:
+    """128-bit digests of the sets; null for empty ones."""
+    return pa.array([np.array([s.sum(dtype=np.uint64), scramble(s + _BASE).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s in sets], pa.binary())
+
+
+def _class_key() -> Column:
+    """The key of a class of equal sets: a doc_id would not do, as texts may differ under one."""
+    return F.xxhash64("digest", "n")
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, 128-bit digest of the set and band keys of every document."""
+    """doc_id, hash of the text, set size, 128-bit digest of the set and band keys of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,25 +155,25 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             for lo, hi, b, off in blocks(batch.column("text"), 1 << 20):
                 sets = shingles(b, off, k)
                 keys = _band_keys(signatures(sets)).view(np.int64)
-                digest = [np.array([s.sum(dtype=np.uint64), scramble(s + _BASE).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s in sets]
                 yield pa.record_batch(
-                    [ids.slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([list(x) if len(s) else None for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "digest", "bands"],
+                    [ids.slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), _digests(sets), pa.array([list(x) if len(s) else None for x, s in zip(keys, sets, strict=True)], pa.list_(pa.int64()))],
+                    names=["doc_id", "text_hash", "n", "digest", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, _SIGNED)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """id and the whole set (sorted hashes, 8 bytes each)."""
+    """Key and whole set (sorted hashes, 8 bytes each) of each class among the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, b, off in blocks(batch.column("text"), 1 << 20):
-                found = [s.tobytes() for s in shingles(b, off, k)]
-                yield pa.record_batch([batch.column("id").slice(lo, hi - lo), pa.array(found, pa.binary())], names=["id", "hashes"])
+                sets = shingles(b, off, k)
+                yield pa.record_batch([pa.array([len(s) for s in sets], pa.int64()), _digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "digest", "hashes"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, hashes binary")
+    found = docs.select("text").mapInArrow(run, "n long, digest binary, hashes binary").where("digest IS NOT NULL")
+    return found.select(_class_key().alias("id"), "hashes").dropDuplicates(["id"])
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,20 +264,22 @@ def _finish(known: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -
     return rows.mapInArrow(_bucket_links(percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; with `row_keys` also the text's
+    hash and a key of the component, as two components may have one smallest doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = scratch.write(signed(docs, k), "signed")
     # classes of equal sets, by partial aggregation
-    classes = scratch.write(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands")), "classes")
+    classes = scratch.write(rows.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest", "n").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")).withColumn("id", _class_key()), "classes")
     members = classes.select("id", F.col("n").alias("size"), F.posexplode("bands").alias("band", "key")).select("id", "size", "key")
     buckets = scratch.write(members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "buckets")
     filled = scratch.write(members.join(buckets, "key"), "filled")
     # how often a member meets others: the text that copies derive from has the most
     degree = filled.groupBy("id").agg(F.sum("m").alias("degree"))
     filled = scratch.write(filled.join(degree, "id").select("key", "id", "size", "degree"), "ranked")
-    sets = scratch.write(_sets(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text").join(filled.select("id").distinct(), "id"), k).dropDuplicates(["id"]), "sets")
+    wanted = classes.select("id", "doc").join(filled.select("id").distinct(), "id").select(F.col("doc").alias("doc_id")).distinct()
+    sets = scratch.write(_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), k), "sets")
     fits = "least(size, center_size) * 100 >= greatest(size, center_size) * " + str(percent)
     label = links = tried = None
     for r in range(STARS):
@@ -288,10 +306,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = scratch.write(confirm(rest, sets, percent), "more")
     if more.limit(1).count():
         label = scratch.write(components(links.union(more), scratch, "cc"), "label")
-    of_class = scratch.write(classes.join(label, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component")), "of_class")
-    out = rows.select("doc_id", "n", "digest").join(of_class, ["digest", "n"], "left")
+    least = classes.select("id", "doc").join(label, "id").groupBy("component").agg(F.min("doc").alias("least"))
+    of_class = classes.select("id", "digest", "n", "doc").join(label, "id", "left").join(least, "component", "left")
+    of_class = scratch.write(of_class.select("digest", "n", F.coalesce("component", "id").alias("component_key"), F.coalesce("least", "doc").alias("component")), "of_class")
+    out = rows.select("doc_id", "text_hash", "n", "digest").join(of_class, ["digest", "n"], "left")
     own = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    keys = ["text_hash", "component_key"] if row_keys else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), *keys)
 
 
 #: Exact components in SQL, over all pairs of classes that share a shingle; for small tables.

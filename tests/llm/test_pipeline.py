@@ -45,3 +45,17 @@ def test_stages(spark, tmp_path):
     assert words == {i: n for i, n in plan.items() if n}
     pieces = seen[5].collect()
     assert len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces) and sum(r.start == 0 for r in pieces) == seen[4].count()
+
+
+def test_dedup_stage_keeps_one_row_of_each_group(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near_a, b = " ".join(words), " ".join([*words[:59], "end"]), " ".join(reversed(words))
+    c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "cd")
+    rows = [(1, a), (1, a), (1, near_a), (3, b), (5, b), (5, c), (7, c + " "), (6, d), (6, d), (6, a), (8, ""), (8, ""), (8, " "), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, ["web", "book"][n % 2], len(t)) for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string, n_chars long").repartition(4)
+    got = C.dedup_stage(spark, df, SF)
+    assert got.columns == df.columns
+    got = [(r.doc_id, r.text) for r in got.collect()]
+    assert [t for i, t in got if i == 1] in ([a], [near_a])
+    assert sorted(x for x in got if x[0] not in (None, 1)) == [(3, b), (5, c), (6, d), (8, ""), (8, " ")]
+    assert [x for x in got if x[0] is None] == [(None, a), (None, a)]
