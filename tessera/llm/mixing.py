@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Word counts per source (at most ``MAX_SOURCES`` rows) give the targets. The mix is
-made of blocks of about ``BLOCK`` words. Sources get blocks by highest quotients
-target / (2 s + 1); a source's quota is dealt in the same way to its shards (at most
+Word counts per source give the targets: on the driver up to ``MAX_SOURCES`` sources, by
+aggregates above that. The mix is made of blocks of about ``BLOCK`` words. A source's quota
+is its target over its own mean block, rounded; it is dealt by highest quotients
+words / (2 s + 1) to its shards (at most
 ``MAX_SHARDS`` each, documents by seeded hash), so a hot source is split. A shard's
 documents lie end to end in seeded order, cut into equal blocks (sizes differ by a
 word at most). A quota of q out of n blocks takes each block q div n times and q mod n
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,6 +99,45 @@ def _div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
+def _many_sources(sizes: DataFrame, weights: tuple[float, ...], scratch: Scratch) -> DataFrame:
+    """What ``targets`` gives, for any number of sources: the level left / whole is settled by
+    aggregates over the sources, of which the driver sees two rows a weight."""
+    spark = sizes.sparkSession
+    in_order = sizes.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1]))
+    ranked = scratch.write(spark.createDataFrame(in_order, "source_ string, no long, source_size long"), "ranked")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("no") % len(weights) + 1).cast("int"))
+    ranked = ranked.withColumn("w", weight)
+    total = ranked.agg(F.sum("source_size")).first()[0]
+    left, whole = 0.0, 1.0
+    while True:
+        full = F.lit(left) * F.col("w") / F.lit(whole) > REPEATS * F.col("source_size")
+        seen = ranked.where("source_size > 0 AND w > 0").groupBy("w", full.alias("full")).agg(F.count("*").alias("m"), F.sum("source_size").alias("n")).collect()
+        now = (float(total - REPEATS * sum(r["n"] for r in seen if r["full"])), math.fsum(r["w"] * r["m"] for r in seen if not r["full"]))
+        if now == (left, whole) or not now[1]:
+            break
+        left, whole = now
+    capped = F.least(F.lit(left) * F.col("w") / F.lit(whole), (REPEATS * F.col("source_size")).cast("double"))
+    target = F.when((F.col("source_size") > 0) & (F.col("w") > 0), capped).otherwise(0.0)
+    shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
+    return scratch.write(ranked.select("source_", "no", shards.alias("shards"), "source_size", target.alias("target")), "per_source")
+
+
+_PLAN = "no long, shard int, words long, blocks long, each long, more long, stride long, shift long"
+
+
+def _deal(no: int, cells: list[tuple[int, int]], wish: float, seed: int) -> list[tuple]:
+    """Rows of the plan of one source from its shards and their words: its quota of blocks is
+    its target by its own mean block, and goes to its shards by highest quotients."""
+    cells = [(shard, n) for shard, n in sorted(cells) if n > 0]
+    blocks = [max(1, round(n / BLOCK)) for _, n in cells]
+    if not cells:
+        return []
+    own = sum(n for _, n in cells) / sum(blocks)
+    most = [REPEATS * b for b in blocks]
+    quotas = sainte_lague([float(n) for _, n in cells], min(round(wish / own), sum(most)), most)
+    return [(no, shard, n, b, q // b, q % b, _stride(b, seed + shard), (seed * 7919 + shard * 31) % b) for (shard, n), b, q in zip(cells, blocks, quotas, strict=True)]
+
+
 def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, keep_source: bool = False) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, and ``parts``, the stretches of
     words [start, end) of the text to take, each with its number of times. `carry` names
@@ -108,31 +149,31 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, .
     rows = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size_"))
     rows = scratch.write(rows, "rows")
     found = rows.groupBy("source").agg(F.sum("size_").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    names, sizes = [r["source"] for r in found], [r["n"] for r in found]
-    wish = targets(sizes, [weights[k % len(weights)] for k in range(len(names))])
-    shards = [min(MAX_SHARDS, max(1, -(-n // SHARD_WORDS))) for n in sizes]
-    schema = "source_ string, no int, shards int, source_size long, target double"
-    per_source = spark.createDataFrame([(n, k, shards[k], sizes[k], wish[k]) for k, n in enumerate(names)], schema)
-    placed = rows.join(F.broadcast(per_source), rows["source"].eqNullSafe(per_source["source_"])).drop("source_")  # at most MAX_SOURCES rows
+    many = len(found) > MAX_SOURCES
+    if many:
+        per_source = _many_sources(rows.groupBy("source").agg(F.sum("size_").alias("n")), weights, scratch)
+    else:
+        found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+        names, sizes = [r["source"] for r in found], [r["n"] for r in found]
+        wish = targets(sizes, [weights[k % len(weights)] for k in range(len(names))])
+        shards = [min(MAX_SHARDS, max(1, -(-n // SHARD_WORDS))) for n in sizes]
+        schema = "source_ string, no long, shards int, source_size long, target double"
+        per_source = F.broadcast(spark.createDataFrame([(n, k, shards[k], sizes[k], wish[k]) for k, n in enumerate(names)], schema))  # at most MAX_SOURCES rows
+    placed = rows.join(per_source, rows["source"].eqNullSafe(per_source["source_"])).drop("source_")
     placed = placed.withColumn("shard", F.pmod(_ordered_hash(seed, "doc_id"), F.col("shards")).cast("int"))
-    cells = {(r["no"], r["shard"]): r["n"] for r in placed.groupBy("no", "shard").agg(F.sum("size_").alias("n")).collect()}  # at most MAX_SHARDS a source
-    blocks = {key: max(1, round(n / BLOCK)) for key, n in cells.items() if n > 0}
-    of: dict[int, list[tuple[int, int]]] = {}
-    for key in sorted(blocks):
-        of.setdefault(key[0], []).append(key)
-    quota = sainte_lague(wish, round(sum(wish) / BLOCK), [REPEATS * sum(blocks[key] for key in of.get(k, [])) for k in range(len(names))])
-    plan = []
-    for no, keys in of.items():
-        # blocks of a source may be a little larger or smaller than BLOCK: its quota follows its own
-        own = sum(cells[key] for key in keys) / sum(blocks[key] for key in keys)
-        seats = min(round(wish[no] / own), REPEATS * sum(blocks[key] for key in keys)) if own else quota[no]
-        for key, q in zip(keys, sainte_lague([float(cells[key]) for key in keys], seats, [REPEATS * blocks[key] for key in keys]), strict=True):
-            n = blocks[key]
-            plan.append((*key, cells[key], n, q // n, q % n, _stride(n, seed + key[1]), (seed * 7919 + key[1] * 31) % n))
-    shard_plan = spark.createDataFrame(plan, "no int, shard int, words long, blocks long, each long, more long, stride long, shift long")
+    cells = placed.groupBy("no", "shard").agg(F.sum("size_").alias("n"), F.first("target").alias("target"))  # at most MAX_SHARDS a source
+    if many:
+
+        def dealt(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+            plan = _deal(int(key[0]), list(zip(x["shard"].tolist(), x["n"].tolist(), strict=True)), float(x["target"].iloc[0]), seed)
+            return pd.DataFrame(plan, columns=[c.split()[0] for c in _PLAN.split(", ")])
+
+        shard_plan = scratch.write(cells.groupBy("no").applyInPandas(dealt, _PLAN), "plan")
+    else:
+        of: dict[int, list[tuple[int, int]]] = {}
+        for r in cells.collect():
+            of.setdefault(r["no"], []).append((r["shard"], r["n"]))
+        shard_plan = spark.createDataFrame([row for no in sorted(of) for row in _deal(no, of[no], wish[no], seed)], _PLAN)
     line = Window.partitionBy("no", "shard").orderBy(_ordered_hash(seed + 1, "doc_id"), "doc_id", "size_", *[c for c in carry if c != "source"])
     laid = placed.withColumn("end_", F.sum("size_").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(shard_plan, ["no", "shard"], "left")
     laid = laid.withColumn("begin_", F.col("end_") - F.col("size_"))

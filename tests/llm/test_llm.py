@@ -177,6 +177,17 @@ def test_mixing(docs, texts, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Above the bound of sources the plan is made in Spark, and is the same."""
+    r = random.Random(4)
+    rows = [(i, "w " * r.choice([0, 3, 40, 900]), r.choice([None, *(f"site{k}é" for k in range(40))]) if i % 3 else "big") for i in range(400)]
+    rows.append((400, "w " * 90_000, "big"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = sorted(map(str, mixing.mix(df, keep_source=True).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 5)
+    assert sorted(map(str, mixing.mix(df, keep_source=True).collect())) == want
+
+
 def test_apportionment():
     assert mixing.sainte_lague([53000, 24000, 23000], 7, [99] * 3) == [3, 2, 2]
     assert mixing.sainte_lague([5, 1], 10, [3, 4]) == [3, 4]
