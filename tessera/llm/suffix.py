@@ -1,8 +1,8 @@
 """Removal of repeated byte strings by prefix-free parsing and suffix sorting.
 
 Parsing. A rolling hash of ``GRAM`` bytes triggers phrase boundaries: of the grams of
-each window of ``WIDTH`` bytes the one with the least hash (the last on ties) is its
-trigger, so equal windows have the same trigger at the same place, and the parse of a
+each window of ``WIDTH`` bytes the one whose hash has the least upper bits (the last on
+ties) is its trigger, so equal windows have the same trigger at the same place, and the parse of a
 repeated passage repeats. A phrase is the run of window starts that share a trigger;
 it is extended by the bytes its last window needs, so phrases with equal extended
 bytes have equal windows throughout.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, spread
-from .minhash import scramble, slice_hashes
+from .minhash import _powers, scramble
 from .words import blocks, slices
 
 WIDTH = 100
@@ -45,50 +45,40 @@ GATHER = 1_000_000
 _PHRASES = "trigger long, phrase long, doc_id long, text_hash long, at int, lead short, size short"
 
 
-def gram_hashes(b: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the `gram` bytes from each place (gram is a power of two), by doubling."""
-    h = scramble(b.astype(np.uint64) + np.uint64(1))
-    step = 1
-    while step < gram:
-        h = (h[:-step] * np.uint64(0x9E3779B97F4A7C15) + (h[step:] ^ (h[step:] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) if len(h) > step else h[:0]
-        step *= 2
-    return scramble(h)
+def prefix_sums(b: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial over the bytes so far: the rolling hash of any stretch is a difference."""
+    up, _ = _powers(len(b))
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    return total
+
+
+def stretch_hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes [start, end), from the prefix sums."""
+    _, down = _powers(len(total))
+    return scramble((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def gram_hashes(total: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Rolling hash of the `gram` bytes from each place."""
+    n = max(0, len(total) - gram)
+    _, down = _powers(len(total))
+    return scramble((total[gram : gram + n] - total[:n]) * down[:n])
 
 
 def window_triggers(h: np.ndarray, span: int) -> np.ndarray:
-    """Place of the least value (the last on ties) among h[i : i + span], for every i."""
+    """Place of the least value among h[i : i + span] for every i: by its upper bits, the last
+    place on ties. The lower bits carry the place, so minima of windows name it at once."""
     n = len(h) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # the minimum of each window from two overlapping windows of a power of two
-    low, size = h, 1
-    while size * 2 <= span:
+    bits = np.uint64(max(1, len(h) - 1).bit_length())
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    low, size = (h & ~mask) | (mask - np.arange(len(h), dtype=np.uint64)), 1
+    while size * 2 <= span:  # a window from two overlapping ones of a power of two
         low = np.minimum(low[:-size], low[size:])
         size *= 2
-    least = np.minimum(low[:n], low[span - size : span - size + n])
-    # a place is a trigger of window i where its value is the window's least: take the last one
-    where = np.flatnonzero(_is_trigger(h, least, span))
-    at = np.searchsorted(where, np.arange(n) + span, "left") - 1
-    out = where[at]
-    wrong = h[out] != least
-    while wrong.any():  # a later candidate in the window belongs to a neighbour: step back
-        at[wrong] -= 1
-        out[wrong] = where[at[wrong]]
-        wrong = h[out] != least
-    return out
-
-
-def _is_trigger(h: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
-    """Places that are the least of at least one window holding them."""
-    # the largest of the minima of the windows over a place is its value iff it is one of them
-    pad = np.concatenate([np.zeros(span - 1, np.uint64), least, np.zeros(span - 1, np.uint64)])
-    top, size = pad, 1
-    while size * 2 <= span:
-        top = np.maximum(top[:-size], top[size:])
-        size *= 2
-    n = len(h)
-    most = np.maximum(top[:n], top[span - size : span - size + n])
-    return most == h
+    return (mask - (np.minimum(low[:n], low[span - size : span - size + n]) & mask)).astype(np.int64)
 
 
 def parse(b: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, ...]:
@@ -98,7 +88,8 @@ def parse(b: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarra
     z = np.zeros(0, np.int64)
     if len(b) < width:
         return z.view(np.uint64), z.view(np.uint64), z, z, z, z
-    h = gram_hashes(b)
+    total = prefix_sums(b)
+    h = gram_hashes(total)
     trigger = window_triggers(h, span)
     start = np.arange(len(trigger))
     doc = np.searchsorted(off, start, "right") - 1
@@ -111,7 +102,7 @@ def parse(b: np.ndarray, off: np.ndarray, width: int = WIDTH) -> tuple[np.ndarra
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(start)))
     s, t, d = start[first], trigger[first], doc[first]
-    phrase = scramble(slice_hashes(b, s, s + size + width - 1) ^ scramble((t - s).astype(np.uint64)))
+    phrase = scramble(stretch_hashes(total, s, s + size + width - 1) ^ scramble((t - s).astype(np.uint64)))
     return h[t], phrase, d, s - off[d], t - s, size
 
 
@@ -150,7 +141,7 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
         many = 0
         for batch in batches:
             ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "text_hash"))
-            for lo, _, b, off in blocks(batch.column("text"), 2 << 20):
+            for lo, _, b, off in blocks(batch.column("text"), 1 << 19):
                 t, p, d, a, lead, size = parse(b, off, width)
                 held.append([t, p, ids[lo + d], hashes[lo + d], a, lead, size])
                 many += len(t)
