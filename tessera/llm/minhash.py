@@ -8,8 +8,9 @@ its own universal probe sequence to a filled bin). ``BANDS`` bands of ``ROWS`` b
 give buckets; candidate edges are stars, from the member of a bucket that meets most
 others (the text that copies derive from) to its other members, and are confirmed on
 the full sets. A second round of stars has its centres outside each bucket's main
-component. Buckets whose members are not all XX Components follow by star
-contraction.
+component. Buckets whose members still are of several components are completed: within
+a task, on the full sets, and with one link for each join of two components, never with
+all pairs. Components follow by star contraction.
 
 At a similarity of 0.8 a pair shares no bucket with a chance of 0.738**50, 3e-7.
 
@@ -37,8 +38,9 @@ BANDS, ROWS = 50, 6
 BINS = BANDS * ROWS
 #: Rounds of stars before the exact completion.
 STARS = 2
-#: Members of a bucket that one task of the exact completion compares.
+#: Members of a bucket, and hashes in their sets, that the completion compares at once.
 TILE = 512
+TILE_HASHES = 1 << 18
 _LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -200,68 +202,117 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _forest(ids: list[int], own: list[int], sets: list[np.ndarray], half: int, percent: int) -> tuple[list[int], list[int]]:
+    """Links that join the components of one group, one for each join: from a member to one of
+    each other component it is alike with. With `half`, members before it only meet those from it on."""
+    sizes = np.array([len(h) for h in sets])
+    root = np.unique(np.array(own), return_inverse=True)[1]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    a: list[int] = []
+    b: list[int] = []
+    for i, h in enumerate(sets[: half or len(sets)]):
+        if (root == root[0]).all():
+            break
+        open_ = root != root[i]
+        if half:
+            open_[:half] = False
+        open_ &= (100 * np.minimum(sizes, len(h)) >= percent * np.maximum(sizes, len(h)))
+        if not open_.any():
+            continue
+        lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
+        many = hi - lo
+        ends = np.cumsum(many)
+        shared = np.bincount(owner[np.repeat(lo - (ends - many), many) + np.arange(ends[-1])], minlength=len(sets))
+        for k in np.flatnonzero(open_ & (100 * shared >= percent * (sizes + len(h) - shared))).tolist():
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                a.append(min(ids[i], ids[k]))
+                b.append(max(ids[i], ids[k]))
+    return a, b
+
+
+def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _bucket_links(percent: int):
-    def close(group: list[tuple[int, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
-        """Pairs of one group that different components hold and whose short hashes agree enough."""
-        sizes = np.array([len(g[3]) for g in group])
-        own, side = np.array([g[1] for g in group]), np.array([g[2] for g in group])
-        flat, owner = np.concatenate([g[3] for g in group]), np.repeat(np.arange(len(group)), sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        a, b = [], []
-        for j, (i, mine, at, h) in enumerate(group):
-            lo, hi = np.searchsorted(flat, h, "left"), np.searchsorted(flat, h, "right")
-            many = hi - lo
-            ends = np.cumsum(many)
-            hit = owner[np.repeat(lo - (ends - many), many) + np.arange(ends[-1])]
-            shared = np.bincount(hit, minlength=len(group))
-            near = (100 * shared >= percent * (sizes + len(h) - shared)) & (own != mine)
-            near &= (side != at) if side.any() else True  # in a pair of tiles, across them
-            for k in np.flatnonzero(near):
-                if group[k][0] < i:
-                    a.append(group[k][0])
-                    b.append(i)
-        return a, b
+    """Rows by key, a bucket together: the links of each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, last = [], None
+        ids, own, sets, last = [], [], [], None
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "tile", "tile_b")), strict=True))
-            ids, owns, sides = (batch.column(c).to_pylist() for c in ("id", "own", "side"))
+            keys, id_, own_ = (batch.column(c).to_pylist() for c in ("key", "id", "own"))
+            hashes = batch.column("hashes")
             for n, key in enumerate(keys):
                 if key != last:
-                    if len(group) > 1:
-                        a, b = close(group)
-                        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    group, last = [], key
-                h = np.frombuffer(batch.column("short")[n].as_buffer(), np.uint32)
-                group.append((ids[n], owns[n], sides[n], h))
-        if len(group) > 1:
-            a, b = close(group)
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    if len(ids) > 1:
+                        yield _edges(*_forest(ids, own, sets, 0, percent))
+                    ids, own, sets, last = [], [], [], key
+                ids.append(id_[n])
+                own.append(own_[n])
+                sets.append(np.frombuffer(hashes[n].as_buffer(), np.uint64))
+        if len(ids) > 1:
+            yield _edges(*_forest(ids, own, sets, 0, percent))
 
     return run
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        short = [(np.frombuffer(x.as_buffer(), np.uint64) >> np.uint64(16)).astype(np.uint32).tobytes() for x in batch.column("hashes")]
-        yield pa.record_batch([batch.column("id"), pa.array(short, pa.binary())], names=["id", "short"])
+def _blob(table: pa.Table) -> pa.Table:
+    """A tile of a bucket as one row: ids, components, set sizes and sets."""
+    hashes = table.column("hashes").to_pylist()
+    sizes = np.array([len(h) // 8 for h in hashes], np.int64)
+    cols = [pa.array([table.column(c)[0].as_py()], t) for c, t in (("key", pa.int64()), ("tile", pa.int32()))]
+    cols += [pa.array([table.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("id", "own")]
+    return pa.table([*cols, pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(hashes)], pa.binary())], names=["key", "tile", "ids", "owns", "sizes", "sets"])
+
+
+def _tile_links(percent: int):
+    """Pairs of tiles: the links within a tile, or across two."""
+
+    def members(row: dict, end: str) -> tuple[list[int], list[int], list[np.ndarray]]:
+        cuts = np.cumsum(np.frombuffer(row["sizes" + end], np.int64))[:-1]
+        return np.frombuffer(row["ids" + end], np.int64).tolist(), np.frombuffer(row["owns" + end], np.int64).tolist(), np.split(np.frombuffer(row["sets" + end], np.uint64), cuts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, own, sets = members(row, "")
+                half = 0
+                if row["tile"] != row["tile_b"]:
+                    half, more = len(ids), members(row, "_b")
+                    ids, own, sets = ids + more[0], own + more[1], sets + more[2]
+                yield _edges(*_forest(ids, own, sets, half, percent))
+
+    return run
 
 
 def _finish(known: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """All pairs of different components that share a bucket and whose sets, by 32 bits of
-    each hash, are alike enough (more bits can only take links away). A bucket is compared as
-    a whole within a task and only such pairs come out; one of more than TILE members is
-    dealt into tiles, and each pair of its tiles is a group of its own."""
-    mixed = known.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("m")).where("low <> high")
-    left = scratch.write(known.join(mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles")), "key").select("key", "id", "own", "tiles"), "left")
-    short = sets.join(left.select("id").distinct(), "id").select("id", "hashes").mapInArrow(_short, "id long, short binary")
-    mine = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("key", "id", "own", F.least("mine", "other").alias("tile"), F.greatest("mine", "other").alias("tile_b"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-    rows = dealt.join(short, "id").repartition(spread(scratch.spark) * 2, "key", "tile", "tile_b").sortWithinPartitions("key", "tile", "tile_b")
-    return rows.mapInArrow(_bucket_links(percent), "a long, b long").distinct()
+    """Links that the stars left open: of each bucket whose members are of several components,
+    one link for each join of two of them, found on the full sets. A bucket is compared within
+    a task, and only its joins come out. One of more than a tile (``TILE`` members or
+    ``TILE_HASHES`` hashes) goes as tiles, each one row; each pair of its tiles is compared
+    by itself, so rows grow with members and pairs of tiles only."""
+    n = spread(scratch.spark) * 2
+    mixed = known.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("m"), F.sum("size").alias("hashes")).where("low <> high")
+    tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("hashes") / TILE_HASHES)).cast("int")
+    mixed = scratch.write(mixed.select("key", tiles.alias("tiles")), "mixed")
+    left = scratch.write(known.join(mixed, "key").select("key", "id", "own", "tiles"), "left")
+    used = scratch.write(sets.join(left.select("id").distinct(), "id").select("id", "hashes"), "used")
+    rows = left.join(used, "id")
+    one = rows.where("tiles = 1").select("key", "id", "own", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(percent), "a long, b long")
+    large = mixed.where("tiles > 1")
+    if not large.limit(1).count():
+        return one
+    dealt = rows.where("tiles > 1").select("key", F.pmod(F.xxhash64("id"), "tiles").cast("int").alias("tile"), "id", "own", "hashes")
+    body = scratch.write(dealt.groupBy("key", "tile").applyInArrow(_blob, "key long, tile int, ids binary, owns binary, sizes binary, sets binary"), "tiles")
+    pairs = large.select("key", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
+    pairs = pairs.select("key", "tile", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tile_b")).repartition(n, "key", "tile", "tile_b")
+    body_b = body.select("key", F.col("tile").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "owns", "sizes", "sets")))
+    across = pairs.join(body, ["key", "tile"]).join(body_b, ["key", "tile_b"]).mapInArrow(_tile_links(percent), "a long, b long")
+    return one.union(across)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row_keys: bool = False) -> DataFrame:
@@ -302,8 +353,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, row_keys: bo
     # what the stars leave open: members of buckets that still are of several components
     known = filled.join(label, "id", "left").select("key", "id", "size", "degree", F.coalesce("component", "id").alias("own"))
     known = scratch.write(known, "known")
-    rest = scratch.write(_finish(known, sets, scratch, percent), "rest")
-    more = scratch.write(confirm(rest, sets, percent), "more")
+    more = scratch.write(_finish(known, sets, scratch, percent).distinct(), "more")
     if more.limit(1).count():
         label = scratch.write(components(links.union(more), scratch, "cc"), "label")
     least = classes.select("id", "doc").join(label, "id").groupBy("component").agg(F.min("doc").alias("least"))
