@@ -9,6 +9,7 @@ holding white space outside ASCII are given to the library whole.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; bounds the memory of a task.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Chunks remembered per generation (two generations per Python worker).
 CACHE_CHUNKS = 500_000
 
@@ -134,23 +135,17 @@ class Encoder:
         """Place of each distinct chunk in the store."""
         self._turn()
         young, old = self.young, self.old
-        out = np.empty(len(chunks), np.int64)
-        missing, at = [], []
-        for i, c in enumerate(chunks):
-            k = young.get(c)
-            if k is None:
-                k = old.get(c)
-                if k is None:
-                    missing.append(c)
-                    at.append(i)
-                    continue
-                young[c] = k
-            out[i] = k
-        if missing:
+        out = np.fromiter(map(young.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        absent = np.flatnonzero(out < 0)
+        if len(absent):
+            seek = [chunks[i] for i in absent.tolist()]
+            found = np.fromiter(map(old.get, seek, itertools.repeat(-1)), np.int64, len(seek))
+            missing = [seek[i] for i in np.flatnonzero(found < 0).tolist()]
             flat, length = self._library([c.decode() for c in missing])
             first = self._append(flat, length)
-            out[at] = np.arange(first, first + len(missing))
-            young.update(zip(missing, range(first, first + len(missing)), strict=True))
+            found[found < 0] = np.arange(first, first + len(missing))
+            young.update(zip(seek, found.tolist(), strict=True))
+            out[absent] = found
         return out
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:

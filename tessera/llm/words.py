@@ -10,7 +10,7 @@ import pyarrow as pa
 from .bpe import utf8_buffers
 
 #: Text bytes handled at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
