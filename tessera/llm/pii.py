@@ -4,7 +4,7 @@ The base finders (email, ip, card, phone) are fixed patterns and their spans sta
 field adds spans the patterns miss: it scores candidate segments of up to ``LONGEST``
 tokens by features of the whole span (its shape, digits, checks such as Luhn or octet
 ranges, the words before it), and bounded-entity dynamic programming chooses the
-boundaries and types of a zone jointly. Zones are the tokens around digits, ``@``,
+boundaries and types of a zone jointly, a segment's type also by the one before it. Zones are the tokens around digits, ``@``,
 key words and addresses said in words ("at ... dot"; a bare "at" before a domain written
 with points is prose), cut where three plain words follow each other and nowhere else, so
 clean prose costs nothing; the program is linear in a zone's length and holds no segments.
@@ -97,7 +97,7 @@ _SHAPES: list[tuple[str, re.Pattern]] = [
     ("four numbers", re.compile(r"[0-9]{1,3}(\.[0-9]{1,3}){3}")),
     ("plus digits", re.compile(r"\+[0-9][ ().0-9-]*[0-9]")),
     ("area digits", re.compile(r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}")),
-    ("three groups", re.compile(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}")),
+    ("three groups", re.compile(r"(1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}")),
     ("digit groups", re.compile(r"[0-9]{4}([ -]?[0-9]{4}){3}")),
     ("hex", re.compile(r"[0-9a-f]{24,}")),
     ("mixed", re.compile(r"(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}")),
@@ -151,53 +151,80 @@ def _score(i: int, j: int, features: list[int], weights: np.ndarray) -> np.ndarr
     return s
 
 
-def decode(n: int, segments: Iterable[tuple[int, int, list[int]]], weights: np.ndarray) -> list[tuple[int, int, int]]:
+class Field:
+    """Weights of segment features (feature, type) and of a segment's type after another's."""
+
+    def __init__(self) -> None:
+        self.weights = np.zeros((len(_FEATURES), len(TYPES)))
+        self.follows = np.zeros((len(TYPES), len(TYPES)))
+
+
+def decode(n: int, segments: Iterable[tuple[int, int, list[int]]], field: Field) -> list[tuple[int, int, int]]:
     """The best segmentation: (first, last token, type) of the segments that are not plain.
 
     Segments come by first token, so what ends before one is settled, and none is held."""
-    best, back = np.full(n + 1, -np.inf), [(0, 0)] * (n + 1)
-    best[0] = 0.0
+    best = np.full((n + 1, len(TYPES)), -np.inf)
+    start = np.zeros((n + 1, len(TYPES)), np.int64)
+    before = np.zeros((n + 1, len(TYPES)), np.int64)  # the type that a segment from here follows
+    reach, at = np.zeros(len(TYPES)), 0
     for i, j, f in segments:
-        s = _score(i, j, f, weights)
-        k = int(np.argmax(s))
-        if best[i] + s[k] > best[j + 1]:
-            best[j + 1], back[j + 1] = best[i] + s[k], (i, k)
-    out, at = [], n
+        if i != at:
+            at = i
+            ways = best[i][:, None] + field.follows
+            before[i] = ways.argmax(axis=0)
+            reach = ways.max(axis=0)
+        s = reach + _score(i, j, f, field.weights)
+        better = s > best[j + 1]
+        best[j + 1][better] = s[better]
+        start[j + 1][better] = i
+    if not n:
+        return []
+    out, at, k = [], n, int(best[n].argmax())
     while at > 0:
-        i, k = back[at]
+        i = int(start[at, k])
         if k:
             out.append((i, at - 1, k))
-        at = i
+        at, k = i, int(before[i, k])
     return out[::-1]
 
 
-def _gradient(n: int, segments: dict[tuple[int, int], list[int]], gold: dict[tuple[int, int], int], weights: np.ndarray) -> np.ndarray:
-    """Observed less expected feature counts (forward and backward sums over segmentations)."""
-    scores = {(i, j): _score(i, j, f, weights) for (i, j), f in segments.items()}
+def _total(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis)
+    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
+
+
+def _gradient(n: int, segments: dict[tuple[int, int], list[int]], gold: dict[tuple[int, int], int], field: Field) -> tuple[np.ndarray, np.ndarray]:
+    """Observed less expected counts of features and of successions (forward and backward sums
+    over segmentations)."""
+    scores = {(i, j): _score(i, j, f, field.weights) for (i, j), f in segments.items()}
     ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     begins: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     for i, j in scores:
         ends[j].append((i, j))
         begins[i].append((i, j))
-
-    def total(x: list) -> float:
-        v = np.concatenate(x)
-        top = v.max()
-        return top + np.log(np.exp(v - top).sum())
-
-    fore, aft = np.zeros(n + 1), np.zeros(n + 1)
+    types = len(TYPES)
+    into = np.zeros((n + 1, types))  # sums of all that ends before a segment of a type from here
+    fore, away, aft = np.zeros((n + 1, types)), np.zeros((n + 1, types)), np.zeros((n + 1, types))
     for j in range(n):
-        fore[j + 1] = total([fore[i] + scores[i, k] for i, k in ends[j]])
+        fore[j + 1] = _total(np.array([into[i] + scores[i, j] for i, _ in ends[j]]), 0)
+        into[j + 1] = _total(fore[j + 1][:, None] + field.follows, 0)
     for i in range(n - 1, -1, -1):
-        aft[i] = total([aft[k + 1] + scores[a, k] for a, k in begins[i]])
-    out = np.zeros_like(weights)
+        away[i] = _total(np.array([scores[i, j] + aft[j + 1] for _, j in begins[i]]), 0)
+        aft[i] = _total(field.follows + away[i][None, :], 1)
+    z = _total(fore[n], 0)
+    out, follow = np.zeros_like(field.weights), np.zeros_like(field.follows)
     for (i, j), f in segments.items():
-        p = -np.exp(fore[i] + scores[i, j] + aft[j + 1] - fore[n])
+        p = -np.exp(into[i] + scores[i, j] + aft[j + 1] - z)
         if (i, j) in gold:
             p[gold[i, j]] += 1
         for k in f:
             out[k] += p
-    return out
+    for i in range(1, n):
+        follow -= np.exp(fore[i][:, None] + field.follows + away[i][None, :] - z)
+    row = [k for _, k in sorted(gold.items())]
+    for x, y in zip(row, row[1:], strict=False):
+        follow[x, y] += 1
+    return out, follow
 
 
 #: Sentences the field learns from: {kind} is a sampled value ({said} an email), w a plain word.
@@ -206,6 +233,9 @@ TEMPLATES = [
     'w token = "{secret}" w w', "w w key: {secret} w", "password={secret} w w", "w w w w w. w", "w {number} w, w", "w {long} w w", "w w {year} w ({small}) w", "w {version} w w", "w {long}. w", "w w {half} w", "w: {small}, {small} w {year}",
     "w*** w%%% w### {ip} w&&& w$$$ w***", 'w### w*** token = "{secret}"### w&&& w%%%', "w%%% w$$$ {phone}%%% w### w", "w&&& w### {number} w*** w%%% w", "W!! W!! {card}!! w!! w!!", "w | w at w | {small} | w dot w | w",
     "w w {said} w w", "w {said}, w w",
+    "w w: {email}; w w", "<{email}> w w", "w ({email}) w", "w {ip}:{small} w", "w w [{ip}] w", "w w={ip}, w", "tel {phone} w w", "w w: {phone}. w", "w {phone} / {phone} w",
+    "w w w: {card}, w {small}/{small}", "api_key={secret}; w", "w secret {secret} w w", "Bearer {secret}\\nw w", "w w: '{secret}', w", "w w token w w", "w key w {small} w w",
+    "w w {date} w w", "w w {time} w", "w {price} w, {price} w", "w w {date} {time} w", "w {small}-{small} w", "w ({year}) {small}: {small}-{small}", "w w w{small} w", "w {long} w {date}", "w {word40} w w", "w w/w/w-w_w w", "#{number} w w",
 ]
 
 
@@ -219,22 +249,23 @@ def _value(kind: str, r: random.Random) -> str:
     if kind == "ip":
         return ".".join(str(r.randint(1, 255)) for _ in range(4))
     if kind == "phone":
-        return r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}"])
+        return r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}"])
     if kind == "card":
         x = d(15)
         x += next(c for c in "0123456789" if luhn(x + c))
         return r.choice([x, " ".join(x[k : k + 4] for k in range(0, 16, 4)), "-".join(x[k : k + 4] for k in range(0, 16, 4))])
     if kind == "secret":
-        return "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64])))
+        any_ = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n - 2)) + d(1) + r.choice("kQz")
+        return r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 64]))), any_(r.randint(24, 48)), f"{r.choice(['pk', 'tok', 'live'])}_{any_(28)}"])
     if kind == "long":  # looks like a card but fails its check
         x = d(16)
         return x if not luhn(x) else x[:-1] + str((int(x[-1]) + 1) % 10)
-    return {"number": d(r.randint(5, 9)), "year": str(r.randint(1900, 2030)), "small": d(2), "version": f"{d(1)}.{d(1)}.{d(2)}", "half": f"{d(2)}.{d(2)}"}[kind]
+    return {"number": d(r.randint(5, 9)), "year": str(r.randint(1900, 2030)), "small": d(2), "version": f"{d(1)}.{d(1)}.{d(2)}", "date": f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", "time": f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}", "price": f"{r.randint(1, 99)},{d(3)}.{d(2)}", "word40": "".join(r.choice("aeinorstlu") for _ in range(26)), "half": f"{d(2)}.{d(2)}"}[kind]
 
 
 @lru_cache(maxsize=1)
-def model(seed: int = 0, sentences: int = 260, epochs: int = 12, rate: float = 0.3) -> np.ndarray:
-    """Weights (feature, type), fitted once per process."""
+def model(seed: int = 0, sentences: int = 800, epochs: int = 10, rate: float = 0.3) -> Field:
+    """The field, fitted once per process."""
     r = random.Random(seed)
     data = []
     for k in range(sentences):
@@ -254,14 +285,16 @@ def model(seed: int = 0, sentences: int = 260, epochs: int = 12, rate: float = 0
         inside = {t for i, j in gold for t in range(i, j + 1)}
         gold |= {(t, t): 0 for t in range(len(tokens)) if t not in inside}
         data.append((len(tokens), {(i, j): f for i, j, f in _segments(text, tokens)}, gold))
-    weights, seen = np.zeros((len(_FEATURES), len(TYPES))), np.full((len(_FEATURES), len(TYPES)), 1e-6)
+    field = Field()
+    held = [(field.weights, np.full(field.weights.shape, 1e-6)), (field.follows, np.full(field.follows.shape, 1e-6))]
     for _ in range(epochs):
         r.shuffle(data)
         for n, segments, gold in data:
-            g = _gradient(n, segments, gold, weights) - 1e-4 * weights
-            seen += g * g
-            weights += rate * g / np.sqrt(seen)
-    return weights
+            for (w, seen), g in zip(held, _gradient(n, segments, gold, field), strict=True):
+                g = g - 1e-4 * w
+                seen += g * g
+                w += rate * g / np.sqrt(seen)
+    return field
 
 
 #: The rest of a word and three more; a run without blanks counts as words of 400 characters.
@@ -305,24 +338,24 @@ def _zones(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def field_spans(text: str, weights: np.ndarray) -> list[Span]:
+def field_spans(text: str, field: Field) -> list[Span]:
     """Spans the field finds in a text."""
     out: list[Span] = []
     for lo, hi in _zones(text):
         tokens = [t.span() for t in _TOKEN.finditer(text, lo, hi)]
-        found = decode(len(tokens), _segments(text, tokens), weights)
+        found = decode(len(tokens), _segments(text, tokens), field)
         out += [(TYPES[k], tokens[i][0], tokens[j][1]) for i, j, k in found]
     return out
 
 
-def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans in the order of kinds, then starts."""
     base = base_spans(text)
     if not _TRIGGER.search(text):
         return base, base
     taken = sorted((a, b) for _, a, b in base)
     extra = []
-    for kind, a, b in field_spans(text, weights):
+    for kind, a, b in field_spans(text, field):
         if not any(x < b and a < y for x, y in taken):
             extra.append((kind, a, b))
     order = {k: n for n, k in enumerate(TYPES)}
@@ -334,29 +367,31 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: counts and digest of the base spans, and all spans."""
-    weights = model()
+    """Per document: counts and digest of the base spans, and all spans with their number and
+    that of the secrets among them."""
+    field = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for lo, hi, b, off in blocks(batch.column("text")):
                 raw = b.tobytes()
-                counts, digests, spans = [], [], []
+                counts, digests, spans, more = [], [], [], []
                 for k in range(hi - lo):
-                    base, every = all_spans(raw[off[k] : off[k + 1]].decode(), weights)
+                    base, every = all_spans(raw[off[k] : off[k + 1]].decode(), field)
                     counts.append([sum(s[0] == kind for s in base) for kind in KINDS])
                     digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                     spans.append(_joined(every))
-                each = list(zip(*counts, strict=True))
-                yield pa.record_batch([ids.slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in each), pa.array(digests), pa.array(spans)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                    more.append([sum(s[0] == "secret" for s in every), len(every)])
+                each, extra = list(zip(*counts, strict=True)), list(zip(*more, strict=True))
+                yield pa.record_batch([ids.slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in each), pa.array(digests), pa.array(spans), *(pa.array(c, pa.int64()) for c in extra)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
     """The same rows with each span replaced by its kind in brackets, and n_chars to match."""
-    weights, schema = model(), docs.schema
+    field, schema = model(), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +399,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 if text:
                     pieces, at = [], 0
-                    for kind, a, b in sorted(all_spans(text, weights)[1], key=lambda s: (s[1], -s[2])):
+                    for kind, a, b in sorted(all_spans(text, field)[1], key=lambda s: (s[1], -s[2])):
                         if b <= at:
                             continue
                         pieces += [text[at:a], f"[{kind}]"] if a >= at else []
