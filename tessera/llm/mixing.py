@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Word counts per source give the targets: on the driver up to ``MAX_SOURCES`` sources, by
-aggregates above that. The mix is made of blocks of about ``BLOCK`` words. A source's quota
-is its target over its own mean block, rounded; it is dealt by highest quotients
-words / (2 s + 1) to its shards (at most
-``MAX_SHARDS`` each, documents by seeded hash), so a hot source is split. A shard's
-documents lie end to end in seeded order, cut into equal blocks (sizes differ by a
-word at most). A quota of q out of n blocks takes each block q div n times and q mod n
+Word counts per source give the targets. A source's words make up blocks of about
+``BLOCK`` words, and its votes are its target in such blocks: highest quotients
+votes / (2 s + 1) give each source its integer quota. Sources are split into shards (at
+most ``MAX_SHARDS`` each, documents by seeded hash), so a hot one is no single task; the
+source's blocks, then its quota, go to its shards by highest quotients of their words. A
+shard's documents lie end to end in seeded order, cut into equal blocks (sizes differ by
+a word at most). A quota of q out of n blocks takes each block q div n times and q mod n
 seeded blocks once more, at most three times in all.
 
+Up to ``MAX_SOURCES`` sources are apportioned on the driver, more by aggregates over them.
+
 Defined results: a null text has no words; a null source is one source and comes
 last; an empty text takes nothing; rows that share a doc_id are separate documents,
 and the order of equal rows is that of all their columns used here; an empty table
@@ -21,7 +23,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +31,7 @@ from .common import Scratch, n_words
 
 BLOCK = 256
 SHARD_WORDS = 20_000
-MAX_SHARDS = 4096
+MAX_SHARDS = 65_536
 MAX_SOURCES = 10_000
 #: Most often that a document may be taken.
 REPEATS = 3
@@ -99,9 +101,32 @@ def _div(a: Column, b: Column) -> Column:
     return ((a - F.pmod(a, b)) / b).cast("long")
 
 
+_SOURCE = "source_ string, no long, shards int, source_size long, target double, blocks long, quota long"
+
+
+def _blocks(n: int) -> int:
+    return max(1, (2 * n + BLOCK) // (2 * BLOCK)) if n > 0 else 0
+
+
+def quotas(sizes: list[int], wish: list[float], repeats: int = REPEATS) -> list[int]:
+    """Blocks of each source by highest quotients of its target in blocks of its own."""
+    blocks = [_blocks(n) for n in sizes]
+    votes = [w * b / n if n else 0.0 for n, w, b in zip(sizes, wish, blocks, strict=True)]
+    return sainte_lague(votes, math.floor(math.fsum(votes) + 0.5), [repeats * b for b in blocks])
+
+
+def _few_sources(found: list, weights: tuple[float, ...], spark: SparkSession) -> DataFrame:
+    found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
+    sizes = [r["n"] for r in found]
+    wish = targets(sizes, [weights[k % len(weights)] for k in range(len(sizes))])
+    got = quotas(sizes, wish)
+    rows = [(r["source"], k, min(MAX_SHARDS, max(1, -(-n // SHARD_WORDS))), n, wish[k], _blocks(n), got[k]) for k, (r, n) in enumerate(zip(found, sizes, strict=True))]
+    return F.broadcast(spark.createDataFrame(rows, _SOURCE))  # at most MAX_SOURCES rows
+
+
 def _many_sources(sizes: DataFrame, weights: tuple[float, ...], scratch: Scratch) -> DataFrame:
-    """What ``targets`` gives, for any number of sources: the level left / whole is settled by
-    aggregates over the sources, of which the driver sees two rows a weight."""
+    """What ``targets`` and ``quotas`` give, for any number of sources: the level left / whole and
+    the divisor are settled by aggregates over the sources, of which the driver sees a few numbers."""
     spark = sizes.sparkSession
     in_order = sizes.orderBy(F.col("source").isNull(), "source").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1], x[0][1]))
     ranked = scratch.write(spark.createDataFrame(in_order, "source_ string, no long, source_size long"), "ranked")
@@ -119,23 +144,48 @@ def _many_sources(sizes: DataFrame, weights: tuple[float, ...], scratch: Scratch
     capped = F.least(F.lit(left) * F.col("w") / F.lit(whole), (REPEATS * F.col("source_size")).cast("double"))
     target = F.when((F.col("source_size") > 0) & (F.col("w") > 0), capped).otherwise(0.0)
     shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
-    return scratch.write(ranked.select("source_", "no", shards.alias("shards"), "source_size", target.alias("target")), "per_source")
+    blocks = F.when(F.col("source_size") > 0, F.greatest(F.lit(1), F.expr(f"(2 * source_size + {BLOCK}) div {2 * BLOCK}"))).otherwise(0).cast("long")
+    ranked = ranked.select("source_", "no", shards.alias("shards"), "source_size", target.alias("target"), blocks.alias("blocks"))
+    votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
+    ranked = scratch.write(ranked.withColumn("votes", votes), "voted")
+    given = lambda d: F.least(F.floor(F.col("votes") / d + 0.5), REPEATS * F.col("blocks")).cast("long")
+    sums = ranked.agg(F.sum("votes").alias("v"), F.max("votes").alias("top"), F.sum(F.when(F.col("votes") > 0, REPEATS * F.col("blocks"))).alias("most")).first()
+    seats = min(math.floor((sums["v"] or 0.0) + 0.5), sums["most"] or 0)
+    low, high = 1e-12, 2 * (sums["top"] or 0.0) + 1  # at `high` none has a seat
+    for _ in range(8):
+        cuts = [low + (high - low) * k / 32 for k in range(1, 32)]
+        many = ranked.agg(*(F.sum(given(F.lit(d))).alias(f"d{k}") for k, d in enumerate(cuts))).first()
+        over = [k for k, d in enumerate(cuts) if (many[k] or 0) > seats]
+        low, high = cuts[max(over)] if over else low, cuts[max(over) + 1] if over and max(over) + 1 < len(cuts) else cuts[0] if not over else high
+    ranked = ranked.withColumn("quota", given(F.lit(high)))
+    rest = seats - (ranked.agg(F.sum("quota")).first()[0] or 0)
+    while rest > 0:  # ties at the divisor
+        quotient = F.col("votes") / (2 * F.col("quota") + 1)
+        room = ranked.where((F.col("quota") < REPEATS * F.col("blocks")) & (F.col("votes") > 0))
+        best = scratch.write(room.orderBy(quotient.desc(), "no").limit(rest).select("no", F.lit(1).alias("one")), f"best{rest}")
+        got = best.count()
+        if not got:
+            break
+        ranked = ranked.join(best, "no", "left").withColumn("quota", F.col("quota") + F.coalesce("one", F.lit(0))).drop("one")
+        rest -= got
+    return scratch.write(ranked.select(*(c.split()[0] for c in _SOURCE.split(", "))), "per_source")
 
 
 _PLAN = "no long, shard int, words long, blocks long, each long, more long, stride long, shift long"
 
 
-def _deal(no: int, cells: list[tuple[int, int]], wish: float, seed: int) -> list[tuple]:
-    """Rows of the plan of one source from its shards and their words: its quota of blocks is
-    its target by its own mean block, and goes to its shards by highest quotients."""
+def _deal(no: int, cells: list[tuple[int, int]], source_blocks: int, quota: int, seed: int) -> list[tuple]:
+    """Rows of the plan of one source from its shards and their words: its blocks, then its quota
+    of blocks, go to its shards by highest quotients; each shard has a block at least."""
     cells = [(shard, n) for shard, n in sorted(cells) if n > 0]
-    blocks = [max(1, round(n / BLOCK)) for _, n in cells]
     if not cells:
         return []
-    own = sum(n for _, n in cells) / sum(blocks)
-    most = [REPEATS * b for b in blocks]
-    quotas = sainte_lague([float(n) for _, n in cells], min(round(wish / own), sum(most)), most)
-    return [(no, shard, n, b, q // b, q % b, _stride(b, seed + shard), (seed * 7919 + shard * 31) % b) for (shard, n), b, q in zip(cells, blocks, quotas, strict=True)]
+    words = [float(n) for _, n in cells]
+    more = sainte_lague(words, max(0, source_blocks - len(cells)), [n - 1 for _, n in cells])
+    blocks = [1 + k for k in more]
+    seats = quota if sum(blocks) == source_blocks else round(quota * sum(blocks) / source_blocks)
+    dealt = sainte_lague(words, seats, [REPEATS * b for b in blocks])
+    return [(no, shard, n, b, q // b, q % b, _stride(b, seed + shard), (seed * 7919 + shard * 31) % b) for (shard, n), b, q in zip(cells, blocks, dealt, strict=True)]
 
 
 def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, ...] = WEIGHTS, seed: int = 0, keep_source: bool = False) -> DataFrame:
@@ -148,32 +198,19 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[float, .
     scratch = Scratch(spark, "mixing")
     rows = docs.select("doc_id", "source", *carry, n_words(F.col("text")).alias("size_"))
     rows = scratch.write(rows, "rows")
-    found = rows.groupBy("source").agg(F.sum("size_").alias("n")).limit(MAX_SOURCES + 1).collect()
-    many = len(found) > MAX_SOURCES
-    if many:
-        per_source = _many_sources(rows.groupBy("source").agg(F.sum("size_").alias("n")), weights, scratch)
-    else:
-        found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        names, sizes = [r["source"] for r in found], [r["n"] for r in found]
-        wish = targets(sizes, [weights[k % len(weights)] for k in range(len(names))])
-        shards = [min(MAX_SHARDS, max(1, -(-n // SHARD_WORDS))) for n in sizes]
-        schema = "source_ string, no long, shards int, source_size long, target double"
-        per_source = F.broadcast(spark.createDataFrame([(n, k, shards[k], sizes[k], wish[k]) for k, n in enumerate(names)], schema))  # at most MAX_SOURCES rows
+    per_name = rows.groupBy("source").agg(F.sum("size_").alias("n"))
+    found = per_name.limit(MAX_SOURCES + 1).collect()
+    per_source = _few_sources(found, weights, spark) if len(found) <= MAX_SOURCES else _many_sources(per_name, weights, scratch)
     placed = rows.join(per_source, rows["source"].eqNullSafe(per_source["source_"])).drop("source_")
     placed = placed.withColumn("shard", F.pmod(_ordered_hash(seed, "doc_id"), F.col("shards")).cast("int"))
-    cells = placed.groupBy("no", "shard").agg(F.sum("size_").alias("n"), F.first("target").alias("target"))  # at most MAX_SHARDS a source
-    if many:
-
-        def dealt(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-            plan = _deal(int(key[0]), list(zip(x["shard"].tolist(), x["n"].tolist(), strict=True)), float(x["target"].iloc[0]), seed)
-            return pd.DataFrame(plan, columns=[c.split()[0] for c in _PLAN.split(", ")])
-
-        shard_plan = scratch.write(cells.groupBy("no").applyInPandas(dealt, _PLAN), "plan")
-    else:
-        of: dict[int, list[tuple[int, int]]] = {}
-        for r in cells.collect():
-            of.setdefault(r["no"], []).append((r["shard"], r["n"]))
-        shard_plan = spark.createDataFrame([row for no in sorted(of) for row in _deal(no, of[no], wish[no], seed)], _PLAN)
+    cells = placed.groupBy("no", "shard").agg(F.sum("size_").alias("n"), F.first("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    placed = placed.drop("shards", "blocks", "quota")
+
+    def dealt(key: tuple, x: pd.DataFrame) -> pd.DataFrame:  # one source's shards, at most MAX_SHARDS
+        plan = _deal(int(key[0]), list(zip(x["shard"].tolist(), x["n"].tolist(), strict=True)), int(x["blocks"].iloc[0]), int(x["quota"].iloc[0]), seed)
+        return pd.DataFrame(plan, columns=[c.split()[0] for c in _PLAN.split(", ")])
+
+    shard_plan = scratch.write(cells.groupBy("no").applyInPandas(dealt, _PLAN), "plan")
     line = Window.partitionBy("no", "shard").orderBy(_ordered_hash(seed + 1, "doc_id"), "doc_id", "size_", *[c for c in carry if c != "source"])
     laid = placed.withColumn("end_", F.sum("size_").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(shard_plan, ["no", "shard"], "left")
     laid = laid.withColumn("begin_", F.col("end_") - F.col("size_"))

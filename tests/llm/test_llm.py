@@ -438,3 +438,40 @@ def test_personal_data_base_patterns():
         text = "".join(r.choice(parts) + r.choice(["", "", " ", "."]) for _ in range(r.randint(1, 8)))
         want = [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if fits(k, m[0])]
         assert pii.base_spans(text) == want, text
+
+
+def test_apportionment_against_one_by_one():
+    r = random.Random(8)
+    for _ in range(200):
+        n = r.randint(1, 7)
+        votes, most, seats = [r.choice([0, 1, 2.5, 7, 7, 40]) for _ in range(n)], [r.randint(0, 9) for _ in range(n)], r.randint(0, 30)
+        want = [0] * n
+        for _ in range(seats):
+            free = [k for k in range(n) if want[k] < most[k] and votes[k] > 0]
+            if free:
+                want[max(free, key=lambda k: (votes[k] / (2 * want[k] + 1), -k))] += 1
+        assert mixing.sainte_lague([float(v) for v in votes], seats, most) == want
+
+
+def test_mixing_restated(spark):
+    """Sizes, targets and quotas of sources against plain Python."""
+    r = random.Random(9)
+    rows = [(i, r.choice([None, "", "a b\tc\x0bd \x85e\x00", "w é\n" * r.randint(1, 400)]), r.choice([None, "a", "b", "c", "é", "z"])) for i in range(300)]
+    rows.append((300, "w " * 60_000, "a"))
+    size = [len(re.findall("[^\x20\x09-\x0d]+", t or "")) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, x in zip(size, rows, strict=True) if x[2] == s) for s in names}
+    weight, capped = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}, set()
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in capped)
+        want = {s: 3 * total[s] if s in capped else left * weight[s] / sum(weight[x] for x in names if x not in capped) for s in names}
+        more = {s for s in names if s not in capped and want[s] > 3 * total[s]}
+        if not more:
+            break
+        capped |= more
+    got = {x.doc_id: x for x in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()}
+    taken = dict.fromkeys(names, 0)
+    for (i, _, s), n in zip(rows, size, strict=True):
+        assert (got[i].size, got[i].source_size) == (n, total[s]) and abs(got[i].target - want[s]) < 1e-6 and got[i].taken <= 3 * n
+        taken[s] += got[i].taken
+    assert all(abs(taken[s] - want[s]) <= max(mixing.BLOCK, 0.01 * want[s]) for s in names)
