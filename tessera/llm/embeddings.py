@@ -4,11 +4,12 @@ Equal vectors are one class. Classes are dealt to cells around seeded pivots and
 to tiles of about ``TILE`` vectors. Pairs of tiles whose ranges on some pivot direction
 are further apart than linked vectors can be are left out: unit vectors with cosine c
 differ by at most sqrt(2 - 2c) in any direction. In a pair of tiles every unit vector a
-is s*q + e with integers q in -127..127; the products of the q are exact, and
+is s*q + e with integers q in -127..127, kept and sent as int8; their products are exact, and
 
     |a.b - s_a s_b q_a.q_b| <= (1 + |e_a|) |e_b| + |e_a|
 
-so only pairs whose bound straddles the threshold are recomputed in double precision.
+so only pairs whose bound straddles the threshold are recomputed in double precision, and
+only pairs of tiles that hold such pairs are sent their vectors.
 A pair of tiles returns, for each of its vectors, the number of links and one edge to
 the least id of its component there, never its pairs.
 
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, spread
 from .graph import components
 
 TILE = 4096
 PIVOTS = 32
+#: Parts of the pairing of tile heads.
+SALTS = 16
 #: Room for the rounding of the bounds themselves.
 SLACK = 1e-9
 
@@ -61,11 +64,11 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Integers as floats (their products are exact), scale and error norm of each row."""
+    """Integers (int8), scale and error norm of each row."""
     scale = np.abs(unit).max(axis=1) / 127.0
     q = np.rint(unit / scale[:, None])
     error = np.sqrt(((unit - q * scale[:, None]) ** 2).sum(axis=1))
-    return q.astype(np.float32 if unit.shape[1] <= 1000 else np.float64), scale, error
+    return q.astype(np.int8), scale, error
 
 
 def _find(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -77,27 +80,38 @@ def _find(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
         root = up
 
 
-def link_tiles(a: np.ndarray, b: np.ndarray, same: bool, weight_a: np.ndarray, weight_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of each row of a and of b (weighted), and the root of each in the joint order a, b."""
-    ua, ub = _unit(a), _unit(b)
-    (qa, sa, ea), (qb, sb, eb) = quantise(ua), quantise(ub)
-    n, m = len(a), len(b)
+Quantised = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def link_tiles(qa: Quantised, qb: Quantised, same: bool, weight_a: np.ndarray, weight_b: np.ndarray, threshold: float, raw: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Links of each row of a and of b (weighted), and the root of each in the joint order a, b.
+    Without the vectors themselves, nothing if a pair's bound straddles the threshold."""
+    (ia, sa, ea), (ib, sb, eb) = qa, qb
+    exact = np.float32 if ia.shape[1] <= 1000 else np.float64  # sums of products below 2**24, 2**53
+    fa, fb = ia.astype(exact), ib.astype(exact)
+    n, m = len(fa), len(fb)
     links_a, links_b = np.zeros(n, np.int64), np.zeros(m, np.int64)
     shift = 0 if same else n
     parent = np.arange(n if same else n + m)
     for lo in range(0, n, 256):
         hi = min(n, lo + 256)
-        near = (qa[lo:hi] @ qb.T).astype(np.float64) * sa[lo:hi, None] * sb
+        near = (fa[lo:hi] @ fb.T).astype(np.float64) * sa[lo:hi, None] * sb
         slack = (1 + ea[lo:hi, None]) * eb + ea[lo:hi, None] + SLACK
         linked = near - slack >= threshold
-        i, j = np.nonzero(~linked & (near + slack >= threshold))
+        open_ = ~linked & (near + slack >= threshold)
+        if same:
+            linked[np.arange(hi - lo), np.arange(lo, hi)] = False
+            open_[np.arange(hi - lo), np.arange(lo, hi)] = False
+        i, j = np.nonzero(open_)
+        if len(i) and raw is None:
+            return None
         for k in range(0, len(i), 65536):  # in full precision
             p, r = i[k : k + 65536], j[k : k + 65536]
-            x, y = a[lo + p], b[r]
+            x, y = raw[0][lo + p], raw[1][r]
             cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
             linked[p, r] = cosine >= threshold
-        if same:
-            linked[np.arange(hi - lo), np.arange(lo, hi)] = False
+        if not linked.any():
+            continue
         links_a[lo:hi] += (linked * weight_b).sum(axis=1)
         if not same:
             links_b += (linked * weight_a[lo:hi, None]).sum(axis=0)
@@ -107,6 +121,41 @@ def link_tiles(a: np.ndarray, b: np.ndarray, same: bool, weight_a: np.ndarray, w
     return links_a, links_b, _find(parent, np.arange(len(parent)))
 
 
+def _tile_of(row: dict, end: str = "") -> tuple[np.ndarray, np.ndarray, Quantised]:
+    """Ids, weights and quantised rows of a tile."""
+    ids, weights, scale, error = (np.frombuffer(row[c + end], t) for c, t in (("ids", np.int64), ("weights", np.int64), ("scales", np.float64), ("errors", np.float64)))
+    return ids, weights, (np.frombuffer(row["q" + end], np.int8).reshape(len(ids), -1), scale, error)
+
+
+def _products(threshold: float):
+    """Pairs of tiles: links and roots by the int8 products; a pair that needs the vectors comes
+    out as its two tiles' names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                same = r["tile"] == r["tile_b"]
+                (ids, wa, qa), (ids_b, wb, qb) = _tile_of(r), _tile_of(r, "_b")
+                raw = tuple(np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("vecs", "vecs_b")) if "vecs" in r else None
+                got = link_tiles(qa, qb, same, wa, wb, threshold, raw)
+                if got is None:
+                    yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([r["tile"]]), pa.array([r["tile_b"]])], names=_FOUND_NAMES)
+                    continue
+                la, lb, root = got
+                every, links = (ids, la) if same else (np.append(ids, ids_b), np.append(la, lb))
+                held = np.flatnonzero(links)
+                if len(held):
+                    none = pa.nulls(len(held), pa.string())
+                    yield pa.record_batch([pa.array(every[held]), pa.array(links[held]), pa.array(every[root[held]]), none, none], names=_FOUND_NAMES)
+
+    return run
+
+
+_FOUND = "id long, links long, root long, tile string, tile_b string"
+_FOUND_NAMES = ["id", "links", "root", "tile", "tile_b"]
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
@@ -124,58 +173,63 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             cell, lows = np.zeros(len(dims), np.int32), [None] * len(dims)
+            ints, scale, error = [b""] * len(dims), np.zeros(len(dims)), np.zeros(len(dims))
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
+                unit = _unit(_matrix(batch.column("vec").take(pa.array(at)), dim))
+                q, scale[at], error[at] = quantise(unit)
+                for k, row in zip(at, q, strict=True):
+                    ints[k] = row.tobytes()
                 if dim in by_dim:
-                    close = _unit(_matrix(batch.column("vec").take(pa.array(at)), dim)) @ by_dim[dim].T
+                    close = unit @ by_dim[dim].T
                     cell[at] = np.argmax(close, axis=1)
                     for k, row in zip(at, close, strict=True):
                         lows[k] = row
-            yield batch.append_column("cell", pa.array(cell)).append_column("close", pa.array(lows, pa.list_(pa.float64())))
+            more = {"cell": pa.array(cell), "close": pa.array(lows, pa.list_(pa.float64())), "q": pa.array(ints, pa.binary()), "scale": pa.array(scale), "error": pa.array(error)}
+            for name, column in more.items():
+                batch = batch.append_column(name, column)
+            yield batch
 
-    placed = scratch.write(classes.mapInArrow(place, "key binary, id long, weight long, vec binary, dim int, cell int, close array<double>"), "placed")
+    placed = scratch.write(classes.mapInArrow(place, "key binary, id long, weight long, vec binary, dim int, cell int, close array<double>, q binary, scale double, error double"), "placed")
     cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))  # at most PIVOTS rows a length
     placed = placed.join(cells, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     key = ["dim", "cell", "part"]
 
     def blob(table: pa.Table) -> pa.Table:
-        ids, weights = table.column("id").to_numpy(), table.column("weight").to_numpy()
+        ids = table.column("id").to_numpy()
         order = np.argsort(ids)
         close = [c for c in table.column("close").to_pylist() if c is not None]
         low, high = (np.min(close, axis=0), np.max(close, axis=0)) if close else ([], [])
-        vec = table.column("vec").to_pylist()
-        one = [[int(table.column(k)[0].as_py())] for k in key]
-        return pa.table(
-            [*(pa.array(x, pa.int32()) for x in one), pa.array([ids[order].tobytes()], pa.binary()), pa.array([weights[order].tobytes()], pa.binary()), pa.array([b"".join(vec[i] for i in order)], pa.binary()), pa.array([list(low)], pa.list_(pa.float64())), pa.array([list(high)], pa.list_(pa.float64()))],
-            names=[*key, "ids", "weights", "vecs", "low", "high"],
-        )
+        cols = {k: pa.array([int(table.column(k)[0].as_py())], pa.int32()) for k in key}
+        for name, of in (("ids", "id"), ("weights", "weight"), ("scales", "scale"), ("errors", "error")):
+            cols[name] = pa.array([table.column(of).to_numpy()[order].tobytes()], pa.binary())
+        for name, of in (("q", "q"), ("vecs", "vec")):
+            held = table.column(of).to_pylist()
+            cols[name] = pa.array([b"".join(held[i] for i in order)], pa.binary())
+        return pa.table(cols | {"low": pa.array([list(low)], pa.list_(pa.float64())), "high": pa.array([list(high)], pa.list_(pa.float64()))})
 
     # a tile is one row: about `tile` vectors, whatever the cell
-    tiles = placed.groupBy(*key).applyInArrow(blob, "dim int, cell int, part int, ids binary, weights binary, vecs binary, low array<double>, high array<double>")
+    blobs = "dim int, cell int, part int, ids binary, weights binary, scales binary, errors binary, q binary, vecs binary, low array<double>, high array<double>"
+    tiles = placed.groupBy(*key).applyInArrow(blob, blobs)
     tiles = scratch.write(tiles.withColumn("tile", F.concat_ws("-", *key)), "tiles")
-    heads = tiles.select("tile", "dim", "low", "high")
-    # pairs of tiles of one length, by an equi-join of the few tile heads
+    # pairs of tiles of one length, by an equi-join of the few tile heads; the one key is salted
+    heads = tiles.select("tile", "dim", "low", "high").withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(SALTS)).cast("int"))
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    other = heads.select(F.col("tile").alias("tile_b"), "dim", F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    other = tiles.select(F.col("tile").alias("tile_b"), "dim", F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     gap = F.array_max(F.zip_with(F.zip_with("low", "high_b", lambda x, y: x - y), F.zip_with("low_b", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y)))
-    pairs = heads.join(other, "dim").where((F.col("tile") <= F.col("tile_b")) & (F.coalesce(gap, F.lit(0.0)) <= reach)).select("tile", "tile_b", "dim")
-    pairs = scratch.write(pairs.repartition("tile", "tile_b"), "pairs")
-    body = tiles.select("tile", "ids", "weights", "vecs")
-    work = pairs.join(body, "tile").join(body.select(F.col("tile").alias("tile_b"), F.col("ids").alias("ids_b"), F.col("weights").alias("weights_b"), F.col("vecs").alias("vecs_b")), "tile_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                dim, same = r["dim"], r["tile"] == r["tile_b"]
-                ids, ids_b = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ids_b"], np.int64)
-                a, b = np.frombuffer(r["vecs"]).reshape(-1, dim), np.frombuffer(r["vecs_b"]).reshape(-1, dim)
-                la, lb, root = link_tiles(a, b, same, np.frombuffer(r["weights"], np.int64), np.frombuffer(r["weights_b"], np.int64), threshold)
-                every, links = (ids, la) if same else (np.append(ids, ids_b), np.append(la, lb))
-                held = np.flatnonzero(links)
-                if len(held):
-                    yield pa.record_batch([pa.array(every[held]), pa.array(links[held]), pa.array(every[root[held]])], names=["id", "links", "root"])
-
-    found = scratch.write(work.select("tile", "tile_b", "dim", "ids", "weights", "vecs", "ids_b", "weights_b", "vecs_b").mapInArrow(run, "id long, links long, root long"), "found")
+    pairs = heads.join(other, ["dim", "salt"]).where((F.col("tile") <= F.col("tile_b")) & (F.coalesce(gap, F.lit(0.0)) <= reach)).select("tile", "tile_b", "dim")
+    n = 4 * spread(spark)
+    pairs = scratch.write(pairs.repartition(n, "tile", "tile_b"), "pairs")
+
+    def work(of: DataFrame, columns: list[str]) -> DataFrame:
+        body = tiles.select("tile", *columns)
+        body_b = tiles.select(F.col("tile").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+        return of.join(body, "tile").join(body_b, "tile_b").repartition(n, "tile", "tile_b").mapInArrow(_products(threshold), _FOUND)
+
+    light = ["ids", "weights", "scales", "errors", "q"]
+    first = scratch.write(work(pairs, light), "first")
+    exact = scratch.write(work(pairs.join(first.where("tile IS NOT NULL").select("tile", "tile_b"), ["tile", "tile_b"], "left_semi"), [*light, "vecs"]), "exact")
+    found = first.where("tile IS NULL").union(exact).select("id", "links", "root")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     label = scratch.write(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).distinct(), scratch), "label")
     of_class = classes.select("key", "id", "weight").join(counts, "id", "left").join(label, "id", "left")
