@@ -9,17 +9,20 @@ holding white space outside ASCII are given to the library whole.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 
 import numpy as np
 import pyarrow as pa
 
+from .hashing import slice_hashes
+
 #: Text bytes handled at once; bounds the memory of a task.
 BLOCK_BYTES = 2 << 20
-#: Chunks remembered per generation (two generations per Python worker).
-CACHE_CHUNKS = 500_000
+#: Chunks a Python worker remembers; beyond it those not met since the last clearing go.
+CACHE_CHUNKS = 1_500_000
+#: New chunks held apart until they are merged into the sorted table.
+YOUNG_CHUNKS = 1 << 17
 
 
 _CODE = np.arange(256)
@@ -62,6 +65,51 @@ def _odd_space(b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
+def _chunk_keys(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each byte string, and its first eight bytes with its length mixed in:
+    strings of up to seven bytes differ in the second, longer ones would have to agree in both."""
+    off = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1, chunks.offset * 8)
+    raw = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    start, end = off[:-1] - off[0], off[1:] - off[0]
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    window = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(raw) + 1,), (1,))
+    size = end - start
+    head = window[start] & _HEAD[np.minimum(size, 8)]
+    return slice_hashes(raw, start, end), head ^ (size.astype(np.uint64) << np.uint64(56))
+
+
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+class _Table:
+    """Sorted keys with the first bytes and the place of each chunk."""
+
+    def __init__(self, key: np.ndarray | None = None, head: np.ndarray | None = None, place: np.ndarray | None = None):
+        if key is None:
+            self.key, self.head, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        else:
+            order = np.argsort(key, kind="stable")
+            self.key, self.head, self.place = key[order], head[order], place[order]
+        self.used = np.zeros(len(self.key), bool)
+
+    def find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Places, -1 for what is not there."""
+        if not len(self.key):
+            return np.full(len(key), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = (self.key[at] == key) & (self.head[at] == head)
+        self.used[at[hit]] = True
+        return np.where(hit, self.place[at], -1)
+
+    def merge(self, other: _Table) -> None:
+        at = np.searchsorted(self.key, other.key)
+        self.key, self.head, self.place = (np.insert(x, at, y) for x, y in ((self.key, other.key), (self.head, other.head), (self.place, other.place)))
+        self.used = np.insert(self.used, at, other.used)
+
+    def used_part(self) -> _Table:
+        return _Table(self.key[self.used], self.head[self.used], self.place[self.used])
+
+
 class Encoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``
     with control strings read as ordinary text."""
@@ -77,28 +125,29 @@ class Encoder:
         # white space is kept by the byte-level scheme and dropped by the word scheme
         self.keeps_space = '"Removed"' not in pre
         self.lower = '"Lowercase"' in json.dumps(model.get("normalizer") or {})
-        self.young: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
-        self._reset_store()
+        self._reset()
 
-    def _reset_store(self) -> None:
+    def _reset(self) -> None:
+        self.old, self.young = _Table(), _Table()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 12, np.int64)
         self.length = np.zeros(1 << 12, np.int64)
         self.n_ids = self.n_chunks = 0
 
     def _turn(self) -> None:
-        """Drops the older generation once the younger is full."""
-        if len(self.young) < CACHE_CHUNKS:
+        """Merges the young table into the old one, and clears that once it is full."""
+        if len(self.young.key) < YOUNG_CHUNKS:
+            return
+        self.old.merge(self.young)
+        self.young = _Table()
+        if len(self.old.key) < CACHE_CHUNKS:
             return
-        keep = self.young
-        order = np.fromiter(keep.values(), np.int64, len(keep))
-        ids, start, length = self.ids, self.start[order], self.length[order]
-        self._reset_store()
-        flat = _ranges(ids, start, length)
-        self._append(flat, length)
-        self.old = dict(zip(keep, range(len(keep)), strict=True))
-        self.young = {}
+        kept, ids, start, length = self.old.used_part(), self.ids, self.start, self.length
+        self._reset()
+        if len(kept.key) <= CACHE_CHUNKS // 2:
+            flat, size = _ranges(ids, start[kept.place], length[kept.place]), length[kept.place]
+            kept.place = self._append(flat, size) + np.arange(len(size))
+            self.old = kept
 
     def _append(self, flat: np.ndarray, length: np.ndarray) -> int:
         first = self.n_chunks
@@ -131,22 +180,23 @@ class Encoder:
             lengths.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(part)))
         return np.concatenate(flats), np.concatenate(lengths)
 
-    def _index(self, chunks: list[bytes]) -> np.ndarray:
+    def _index(self, chunks: pa.Array) -> np.ndarray:
         """Place of each distinct chunk in the store."""
         self._turn()
-        young, old = self.young, self.old
-        out = np.fromiter(map(young.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-        absent = np.flatnonzero(out < 0)
-        if len(absent):
-            seek = [chunks[i] for i in absent.tolist()]
-            found = np.fromiter(map(old.get, seek, itertools.repeat(-1)), np.int64, len(seek))
-            missing = [seek[i] for i in np.flatnonzero(found < 0).tolist()]
-            flat, length = self._library([c.decode() for c in missing])
-            first = self._append(flat, length)
-            found[found < 0] = np.arange(first, first + len(missing))
-            young.update(zip(seek, found.tolist(), strict=True))
-            out[absent] = found
-        return out
+        key, head = _chunk_keys(chunks)
+        order = np.argsort(key)  # neighbours in the tables are looked up together
+        key, head = key[order], head[order]
+        out = self.young.find(key, head)
+        rest = np.flatnonzero(out < 0)
+        out[rest] = self.old.find(key[rest], head[rest])
+        rest = rest[out[rest] < 0]
+        if len(rest):
+            flat, length = self._library([c.decode() for c in chunks.take(pa.array(order[rest])).to_pylist()])
+            out[rest] = self._append(flat, length) + np.arange(len(rest))
+            self.young.merge(_Table(key[rest], head[rest], out[rest]))
+        back = np.empty(len(out), np.int64)
+        back[order] = out
+        return back
 
     def encode(self, data: np.ndarray, off: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat uint32 ids of the texts and the number of ids of each, the end id included."""
@@ -176,7 +226,7 @@ class Encoder:
         if len(pick) < len(kept):
             arr = arr.take(pa.array(pick))
         enc = arr.dictionary_encode()
-        store = self._index(enc.dictionary.to_pylist()) if len(pick) else np.zeros(0, np.int64)
+        store = self._index(enc.dictionary) if len(pick) else np.zeros(0, np.int64)
         place = store[enc.indices.to_numpy(zero_copy_only=False)] if len(pick) else store
         start, length, owner = self.start[place], self.length[place], doc_of[pick]
         ids = self.ids

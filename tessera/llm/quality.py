@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .minhash import slice_hashes
+from .hashing import slice_hashes
 from .words import blocks, per_doc, word_runs
 
 BUCKETS = 1 << 14

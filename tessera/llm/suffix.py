@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, spread
-from .minhash import _powers, scramble
+from .hashing import _powers, scramble
 from .words import blocks, slices
 
 WIDTH = 100

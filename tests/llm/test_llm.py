@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -475,3 +476,18 @@ def test_mixing_restated(spark):
         assert (got[i].size, got[i].source_size) == (n, total[s]) and abs(got[i].target - want[s]) < 1e-6 and got[i].taken <= 3 * n
         taken[s] += got[i].taken
     assert all(abs(taken[s] - want[s]) <= max(mixing.BLOCK, 0.01 * want[s]) for s in names)
+
+
+def test_tokeniser_cache_turns_over(monkeypatch):
+    """The ids stay those of the library while the tables merge, are cleared and start anew."""
+    from tessera.llm import bpe
+
+    monkeypatch.setattr(bpe, "YOUNG_CHUNKS", 40)
+    monkeypatch.setattr(bpe, "CACHE_CHUNKS", 150)
+    text = definition("word_bpe_49k.json")
+    own, tok, r = bpe.Encoder(text), Tokenizer.from_str(text), random.Random(2)
+    for n in range(40):
+        texts = [" ".join("".join(r.choice("abcéz1.'") for _ in range(r.randint(1, 12))) for _ in range(30 if n % 3 else 3)) for _ in range(4)]
+        flat, size = own.encode(*bpe.utf8_buffers(pa.array(texts)))
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert size.tolist() == [len(w) for w in want] and flat.tolist() == sum(want, [])
