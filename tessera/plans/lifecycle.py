@@ -18,7 +18,8 @@ K = 16
 
 
 def _books(s: SparkSession, d: str) -> list[np.ndarray]:
-    rows = table(s, d, "embeddings").where(f"vec_id < {4 * K}").orderBy("vec_id").select("embedding").collect()  # the codebooks' 64 vectors
+    v = table(s, d, "embeddings").where("embedding IS NOT NULL")
+    rows = v.orderBy(F.sha2(F.col("vec_id").cast("string"), 256)).limit(4 * K).select("embedding").collect()  # a sample of 64 by hash
     return Q.frozen_codebooks([np.array(r[0], float) for r in rows], K)
 
 
@@ -37,9 +38,10 @@ def _level(n: int, source: str, book: str) -> str:
 def _rq_sql() -> str:
     """CTEs down to `codes` (doc, c1..c4, err), with books b1..b4."""
     out = ["x AS (SELECT vec_id AS doc, list_transform(CAST(embedding AS DOUBLE[]), lambda v: v / sqrt(list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda z: z * z), 'sum'))) AS r FROM embeddings)"]
+    out.append(f"sample AS MATERIALIZED (SELECT doc, row_number() OVER (ORDER BY sha256(CAST(doc AS VARCHAR))) - 1 AS place FROM x QUALIFY place < {4 * K})")
     src = "x"
     for n in range(1, 5):
-        out.append(f"b{n} AS (SELECT doc - {(n - 1) * K} AS code, r AS c FROM {src} WHERE doc >= {(n - 1) * K} AND doc < {n * K})")
+        out.append(f"b{n} AS (SELECT place - {(n - 1) * K} AS code, r AS c FROM {src} JOIN sample USING (doc) WHERE place >= {(n - 1) * K} AND place < {n * K})")
         out.append(f"k{n} AS MATERIALIZED ({_level(n, src, f'b{n}')})")
         out.append(f"r{n} AS MATERIALIZED (SELECT doc, code AS c{n}, list_transform(list_zip(k.r, b.c), lambda p: p[1] - p[2]) AS r FROM k{n} k JOIN b{n} b USING (code))")
         src = f"r{n}"
