@@ -1,9 +1,15 @@
-"""Text functions as column expressions (JVM side). NFKC and the parser-exact HTML
-reading, which Spark has no functions for, are Arrow functions at the end."""
+"""Text functions as column expressions (JVM side). What Spark has no functions for, NFKC and
+case folding beyond Latin and the reading of HTML, are Arrow functions; texts of plain
+Latin letters pass them by as nulls.
+
+Defined results: null gives null; an empty text is empty, has no tokens and no n-grams, and is
+one approximate token; texts of any length are taken whole.
+"""
 
 from __future__ import annotations
 
-import html.parser
+import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,25 +17,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TOKEN = r"[\p{L}\p{M}\p{N}_]+"
+TOKEN = r"[\p{L}\p{N}_]+"
 
-# Tags whose content is skipped, tags that break lines, entities, query patterns.
+# Tags whose content is skipped, tags that break lines, query patterns.
 SKIPPED_TAGS = ["script", "style", "noscript", "template"]
 BLOCK_TAGS = ["p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "section", "article"]
-ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")]
 QUOTED_PATTERN = r'"[^"]{2,}"'
 SYMBOL_PATTERN = r"[A-Za-z_]\w*(::|->|\.)[A-Za-z_]\w*\(?|\b[0-9a-f]{8}-[0-9a-f]{4}-|\b[A-Z]{2,}[-_]?\d{2,}\b|\b\w*_\w+\b|\b\d{5,}\b"
 
 
+@F.pandas_udf(StringType())
+def _nfkc(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+@F.pandas_udf(StringType())
+def _fold(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else s.casefold())
+
+
+#: Beyond ASCII, the Latin characters that NFKC leaves alone and that fold as lower case (and sharp s as ss).
+_OTHER = "[^\\x00-\\x7F\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff]"
+
+
+def nfkc(x: Column) -> Column:
+    """The compatible composed form."""
+    return F.coalesce(_nfkc(F.when(x.rlike(_OTHER), x)), x)
+
+
 def casefold(x: Column) -> Column:
-    """Python's casefold for Latin text: lower case, and sharp s as ss."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding."""
+    return F.coalesce(_fold(F.when(x.rlike(_OTHER), x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
 
 
 def clean(x: Column) -> Column:
-    """Control characters go, blanks collapse, lines are stripped, blank lines are two at most."""
+    """NFKC; control characters go, blanks collapse, lines are stripped, blank lines are two at most."""
+    x = nfkc(x)
     x = F.regexp_replace(x, r"[\x00-\x08\x0B-\x1F]", "")
-    x = F.regexp_replace(x, "[\u0085  ]", "\n")
+    x = F.regexp_replace(x, "[\u0085\u2028\u2029]", "\n")
     x = F.regexp_replace(x, r"[ \t]+", " ")
     x = F.regexp_replace(x, r" ?\n ?", "\n")
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", ""))
@@ -54,11 +79,11 @@ def approx_tokens(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.regexp_extract_all(casefold(x), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(casefold(nfkc(x)), F.lit(TOKEN), F.lit(0))
 
 
 def normalize(x: Column) -> Column:
-    return F.trim(F.regexp_replace(casefold(x), r"\s+", " "))
+    return F.trim(F.regexp_replace(casefold(nfkc(x)), r"\s+", " "))
 
 
 def format_query(x: Column, tenant: Column | None = None) -> Column:
@@ -94,16 +119,35 @@ def overlap(query: Column, text: Column) -> Column:
     return F.size(F.array_intersect(q, tokens(text))) / F.greatest(F.size(q), F.lit(1))
 
 
-def html_to_text(x: Column) -> Column:
-    """Text of a page by patterns: skipped elements, comments, block tags as line feeds, entities."""
-    for tag in SKIPPED_TAGS:
-        x = F.regexp_replace(x, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "")
-    x = F.regexp_replace(x, r"(?i)</?(?:" + "|".join(BLOCK_TAGS) + r")(?:\s[^>]*)?/?>", "\n")
-    x = F.regexp_replace(x, r"<[!/]?[A-Za-z][^>]*>", "")
-    for name, mark in ENTITIES:
-        x = F.replace(x, F.lit(name), F.lit(mark))
-    return x
+#: Comments, tags (with quoted values that may hold ">"), declarations.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|<[!?][^>]*>", re.DOTALL)
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in ("script", "style")}
+
+
+def _page_text(page: str) -> str:
+    """Text outside of skipped elements; tags that break lines are line feeds; entities are read."""
+    out, at, hidden = [], 0, 0
+    while at < len(page):
+        mark = _MARKUP.search(page, at)
+        stop = mark.start() if mark else len(page)
+        if stop > at and not hidden:
+            out.append(html.unescape(page[at:stop]))
+        if not mark:
+            break
+        at, tag = mark.end(), (mark["tag"] or "").lower()
+        if tag in BLOCK_TAGS:
+            out.append("\n")
+        elif tag in SKIPPED_TAGS:
+            hidden = max(0, hidden + (-1 if mark["end"] else 1))
+            if not mark["end"] and tag in _RAW:  # its content is no markup
+                close = _RAW[tag].search(page, at)
+                at = close.start() if close else len(page)
+    return "".join(out)
+
+
+@F.pandas_udf(StringType())
+def html_to_text(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else _page_text(s))
 
 
 def pieces(x: Column, max_tokens: int) -> Column:
@@ -139,44 +183,3 @@ def chunk(x: Column, max_tokens: int = 512) -> Column:
         )
 
     return F.aggregate(pieces(x, max_tokens), zero, step, lambda s: F.when(s["cur"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["cur"]))))
-
-
-@F.pandas_udf(StringType())
-def nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
-
-
-@F.pandas_udf(StringType())
-def html_to_text_exact(x: pd.Series) -> pd.Series:
-    """The standard library's parser, for pages the patterns do not cover."""
-
-    class Reader(html.parser.HTMLParser):
-        def __init__(self) -> None:
-            super().__init__()
-            self.out: list[str] = []
-            self.depth = 0
-
-        def _edge(self, tag: str, change: int) -> None:
-            if tag in SKIPPED_TAGS:
-                self.depth = max(0, self.depth + change)
-            elif tag in BLOCK_TAGS:
-                self.out.append("\n")
-
-        def handle_starttag(self, tag: str, attrs: list) -> None:
-            self._edge(tag, 1)
-
-        def handle_endtag(self, tag: str) -> None:
-            self._edge(tag, -1)
-
-        def handle_data(self, data: str) -> None:
-            if not self.depth:
-                self.out.append(data)
-
-    def one(s: str | None) -> str | None:
-        if s is None:
-            return None
-        r = Reader()
-        r.feed(s)
-        return "".join(r.out)
-
-    return x.map(one)

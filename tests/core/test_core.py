@@ -1,8 +1,10 @@
 """Hand-computed cases of the core functions, and each catalogue query against DuckDB."""
 
-import html
+import hashlib
 import math
 import os
+import re
+import unicodedata
 
 import duckdb
 import pytest
@@ -41,9 +43,57 @@ def test_chunk_bounds(spark):
     assert one(spark, "", lambda x: T.chunk(x, 60)) == []
 
 
-def test_html_readers_agree(spark):
-    page = "<p>a &amp; b<script>x</p></script><br>c<!-- d --></p>"
-    assert one(spark, page, T.html_to_text) == one(spark, page, T.html_to_text_exact) == html.unescape("\na &amp; b\nc\n")
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a &amp; b<script>x</p></script><br>c<!-- d --></p>", "\na & b\nc\n"),
+        ("caf&eacute; &#39;x&#39; &#x263A; &copy 1", "café 'x' ☺ © 1"),
+        ('<a title="x > y">t</a><DIV\nclass=q>u</DIV >v', "t\nu\nv"),
+        ("<style>p > a {}</style>x<template>y<b>z</b></template>w", "xw"),
+        ("1 < 2 and <!doctype html>", "1 < 2 and "),
+        ("<noscript>a<noscript>b</noscript>c</noscript>d</script>e", "de"),
+        ("<script>never closed <p>", ""),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_html(spark, page, want):
+    assert one(spark, page, T.html_to_text) == want
+
+
+ODD = ["ﬁne ①② ｆｕｌｌ", "Straße ẞ ΣΑΣ ſ", "a\u00a0b\u2003c", "e\u0301 café É", "µ ª º ½ ²", "İstanbul ǰ ŉ", "日本 ㍿", "plain Ärger", "", None]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_normal_forms(spark, text):
+    """Against the standard library."""
+    form = None if text is None else unicodedata.normalize("NFKC", text)
+    assert one(spark, text, T.nfkc) == form
+    assert one(spark, text, T.casefold) == (None if text is None else text.casefold())
+    assert one(spark, text, T.tokens) == (None if text is None else re.findall(r"\w+", form.casefold()))
+    assert one(spark, text, T.normalize) == (None if text is None else " ".join(form.casefold().split()))
+    if text:
+        clean = re.sub(" +", " ", form).strip()
+        assert one(spark, text, T.content_hash) == hashlib.sha256(clean.casefold().encode()).hexdigest()
+
+
+def test_plain_functions(spark):
+    assert one(spark, "A  B", T.format_document) == "document: a b"
+    two = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], ["b"])], "a array<string>, b array<string>")
+    assert [r[0] for r in two.select(T.jaccard(F.col("a"), F.col("b"), F.lit(-1.0))).collect()] == [pytest.approx(1 / 3), -1.0]
+    sid = spark.createDataFrame([("1.2.3.4.255.0",), ("x.2",)], "x string").select(ids.parse(F.col("x")).alias("p"))
+    assert [r.p for r in sid.collect()] == [[1, 2, 3, 4, 255, 0], [None, 2]]
+    t = spark.createDataFrame([(8,), (8 + 256 + 5,)], "t int")
+    assert [tuple(r) for r in t.select(ids.token_level(F.col("t")), ids.token_code(F.col("t"))).collect()] == [(1, 0), (2, 5)]
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "q.tsv").write_text("q1\tsome text\twith tab\n\nq2\t\n")
+    (tmp_path / "r.txt").write_text("q1 0 d1 2\n\nq1\t0\td2\t0\n")
+    (tmp_path / "j.jsonl").write_text('{"a": 1, "z": 2}\n{"a": null}\n')
+    assert [tuple(r) for r in sources.read_queries(spark, str(tmp_path / "q.tsv")).collect()] == [("q1", "some text\twith tab"), ("q2", "")]
+    assert [tuple(r) for r in sources.read_qrels(spark, str(tmp_path / "r.txt")).collect()] == [("q1", "d1", 2), ("q1", "d2", 0)]
+    assert [r.a for r in sources.read_jsonl(spark, str(tmp_path / "j.jsonl"), "a int").collect()] == [1, None]
 
 
 def test_identifiers(spark):
