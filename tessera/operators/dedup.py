@@ -1,4 +1,7 @@
-"""Exact groups and MinHash links of documents (128 permutations, 32 bands of 4)."""
+"""Exact groups and MinHash links of documents (128 permutations, 32 bands of 4).
+
+Defined results: null texts link with nothing; texts of fewer words than a shingle are one shingle;
+an empty table gives no link; repeated doc ids are an error of the caller."""
 
 from __future__ import annotations
 
@@ -29,7 +32,7 @@ def shingle_hashes(x: Column, n: int = 5) -> Column:
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc, sig): least value of each permutation."""
-    words = docs.select("doc", T.words(T.casefold(F.col("text"))).alias("w"))
+    words = docs.where("doc IS NOT NULL AND text IS NOT NULL").select("doc", T.words(T.casefold(F.col("text"))).alias("w"))
     hashed = words.select("doc", shingle_hashes(F.col("w")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,4 +1,7 @@
-"""Residual quantisation, ordinal allocation and prefix-trie tables."""
+"""Residual quantisation, ordinal allocation and prefix-trie tables.
+
+Defined results: null vectors and those with null components have no codes; ties go to the lowest centroid;
+repeated documents get an ordinal each; empty tables give empty tables."""
 
 from __future__ import annotations
 
@@ -47,7 +50,8 @@ def encode(vectors: DataFrame, books: list[np.ndarray]) -> DataFrame:
                     codes.append(pa.array(c.astype(np.int32)))
                 yield pa.record_batch([part.column(0), *codes, pa.array((r * r).sum(axis=1))], names=["doc", *names, "err"])
 
-    return vectors.select("doc", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "doc long, " + ", ".join(f"{n} int" for n in names) + ", err double")
+    whole = vectors.where("vec IS NOT NULL AND NOT exists(vec, x -> x IS NULL)")
+    return whole.select("doc", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "doc long, " + ", ".join(f"{n} int" for n in names) + ", err double")
 
 
 def occupancy(codes: DataFrame, k: int) -> DataFrame:
@@ -90,6 +94,30 @@ def trie_edges(issued: DataFrame) -> DataFrame:
     return issued.select(e.alias("e")).select("e.*").distinct()
 
 
+def find(issued: DataFrame, codes: list[int]) -> DataFrame:
+    """The node of a prefix, as (depth, prefix, leaves): no row if it is not there."""
+    prefix = ".".join(map(str, codes))
+    own = issued.where(F.array_join(F.slice("codes", 1, len(codes)), ".") == prefix) if codes else issued
+    return own.agg(F.count("*").alias("leaves")).where("leaves > 0").select(F.lit(len(codes)).alias("depth"), F.lit(prefix).alias("prefix"), "leaves")
+
+
+def contains(issued: DataFrame, asked: DataFrame) -> DataFrame:
+    """(sid) -> whether the trie holds it."""
+    return asked.select("sid").distinct().join(issued.select("sid", F.lit(True).alias("held")).distinct(), "sid", "left").select("sid", F.coalesce("held", F.lit(False)).alias("held"))
+
+
+def leaves(issued: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(prefix) of four codes -> its identifiers' tails."""
+    return issued.select(F.array_join("codes", ".").alias("prefix"), "sid", "tail").join(prefixes.select("prefix").distinct(), "prefix")
+
+
+def ids_digest(issued: DataFrame) -> DataFrame:
+    """One digest of all packed identifiers, whatever their order: those of a first code are hashed in
+    order, then the hashes (256 at most)."""
+    part = issued.select(F.col("codes")[0].alias("c1"), "packed").distinct().groupBy("c1").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("packed")), lambda p: F.hex(p)), ","), 256).alias("h"))
+    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c1", "h"))), lambda x: x["h"]), ","), 256).alias("digest"))
+
+
 def validate(trie: DataFrame, expected: DataFrame) -> DataFrame:
     """Missing and extra identifiers (by packed bytes) of a trie against the registry."""
     both = trie.select("packed", F.lit(1).alias("t")).join(expected.select("packed", F.lit(1).alias("e")), "packed", "full_outer")

@@ -47,9 +47,9 @@ def stratified_replay(old: DataFrame, n_new: int, ratio: float = 3.0) -> DataFra
     row is its k-th turn, so short strata pass theirs on. Only per-stratum counts of each
     turn decide; rows are never ordered globally."""
     w = Window.partitionBy("c1").orderBy(F.sha2(F.col("doc").cast("string"), 256))
-    ranked = old.withColumn("turn", F.row_number().over(w))
-    turns = ranked.groupBy("turn").agg(F.count("*").alias("k"))
     want = int(ratio * n_new)
+    ranked = old.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= want)  # no stratum gives more
+    turns = ranked.groupBy("turn").agg(F.count("*").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = turns.select("turn", (F.lit(want) - before).alias("room")).where("room > 0")  # a row per turn, at most want
     in_turn = F.row_number().over(Window.partitionBy("turn").orderBy("c1"))

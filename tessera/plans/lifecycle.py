@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera import streaming as S
 from tessera.catalog import register
 from tessera.functions import ids
+from tessera.operators import evaluate as E
 from tessera.operators import quantize as Q
 from tessera.operators import registry as G
 from tessera.operators import training as TR
@@ -162,11 +163,16 @@ def prefix_siblings(s: SparkSession, d: str) -> DataFrame:
 
 
 def cost_model(s: SparkSession, d: str) -> DataFrame:
-    return s.sql(COST_SQL)
+    """A scenario for each nation: its number sets the documents and the load."""
+    n = F.col("n_nationkey")
+    return E.costs(table(s, d, "nation").select(F.col("n_name").alias("scenario"), ((n + 1) * 100_000).alias("docs"), (n * 10 + 50).alias("qps"), F.when(n % 2 == 0, 0.4).alias("cache_hit")))
 
 
-# Planning defaults (documents, queries a document, tokens, GPU rates and price).
-COST_SQL = """SELECT round(tokens / 20000.0 / 3600, 4) AS generation_hours, round(tokens / 20000.0 / 3600 * 1.2, 4) AS generation_cost, round(380000.0 * 65000 / 150000 / 3600, 4) AS training_hours, round(1e6 * 9.6 / power(1024.0, 3), 6) AS trie_gb, round(1e6 * 768 * 2 / power(1024.0, 3), 6) AS vectors_gb FROM (SELECT 1e6 * 16 * (20 + 512 / 16.0) AS tokens) t"""
+COST_SQL = """
+WITH p AS (SELECT n_name AS scenario, (n_nationkey + 1) * 1e5 AS u, n_nationkey * 10 + 50.0 AS q, CASE WHEN n_nationkey % 2 = 0 THEN 0.6 ELSE 0.75 END AS miss FROM nation),
+h AS (SELECT *, u * 832 / 72e6 AS g, 380000 * 65000.0 / 54e7 AS t, 27 * miss / 3000 AS own, 16 / 3000.0 AS dense, u / 1073741824.0 AS gu FROM p)
+SELECT scenario, round(g, 6) AS generation_hours, round(g * 1.2, 6) AS generation_cost, round(t, 6) AS training_hours, round(t * 1.2, 6) AS training_cost, round(g / (g + t), 6) AS generation_share, round(q * own, 6) AS gpus,
+round(own / 3, 6) AS cost_per_1k, round(dense / 3, 6) AS dense_cost_per_1k, round(own / dense, 6) AS ratio_vs_dense, round(gu * 10, 6) AS trie_gb, round(gu * 1536, 6) AS vectors_gb, round(gu * 1536 * 1.45, 6) AS hnsw_gb FROM h"""
 
 
 def stream_windows(s: SparkSession, d: str) -> DataFrame:
@@ -217,6 +223,6 @@ register("coverage", coverage, f"WITH {ROWS_SQL} SELECT doc_id, count(*) AS n FR
 register("held_out", held_out, "SELECT doc_id FROM documents WHERE CAST('0x' || substr(sha256('20260901:' || doc_id), 1, 15) AS BIGINT) / 1152921504606846976.0::DOUBLE < 0.05")
 register("stratified_replay", stratified_replay, f"WITH {RQ}, t AS (SELECT doc, c1, row_number() OVER (PARTITION BY c1 ORDER BY sha256(CAST(doc AS VARCHAR))) AS turn FROM codes), o AS (SELECT doc, c1, row_number() OVER (ORDER BY turn, c1) AS n FROM t) SELECT doc, c1 FROM o WHERE n <= 120")
 register("prefix_siblings", prefix_siblings, f"WITH {RQ}, h AS (SELECT *, sha256(CAST(doc AS VARCHAR)) AS h FROM codes), p AS (" + " UNION ALL ".join("SELECT a.doc, CAST({0} AS BIGINT) AS level, b.doc AS sibling, b.h FROM h a JOIN h b ON a.c{1} <> b.c{1}{2}".format(n, n + 1, "".join(f" AND a.c{i} = b.c{i}" for i in range(1, n + 1))) for n in range(4)) + ") SELECT doc, level, sibling FROM (SELECT *, row_number() OVER (PARTITION BY doc, level ORDER BY h) AS k FROM p) WHERE k <= 2")
-register("cost_model", cost_model, COST_SQL.replace("power(", "pow("))
+register("cost_model", cost_model, COST_SQL)
 register("stream_windows", stream_windows, "SELECT CAST(epoch(s) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(6 * k) AS s FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)) GROUP BY 1, 2")
 register("stream_registry", stream_registry, "SELECT user_id, count(*) FILTER (event_type = 'signup') AS creates, count(*) FILTER (event_type = 'error') AS tombstones, max(epoch_us(ts)) AS last_us FROM events GROUP BY user_id")

@@ -148,7 +148,7 @@ def gates(s: SparkSession, d: str) -> DataFrame:
 
 
 GATES_SQL = f"""
-WITH g(gate, metric, rule, threshold) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', CAST({t} AS DOUBLE))" for a, b, c, t, _ in E.GATES)}),
+WITH g(gate, metric, rule, threshold) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', CAST({t} AS DOUBLE))" for a, b, c, t, k, _ in E.GATES if E.FULL in k)}),
 m(metric, v) AS (VALUES ('valid_id_rate', 1.0::DOUBLE), ('ndcg@10', 0.70), ('recall@10', 0.80), ('mrr@10', 0.60), ('held_out_doc_recall@10', 0.41), ('ece', 0.051), ('escape_rate', 0.002), ('p95_latency_ms', 115.0), ('cross_tenant_leaks', 0.0)),
 i(metric, i) AS (VALUES ('ndcg@10', 0.702::DOUBLE), ('recall@10', 0.82), ('mrr@10', 0.60), ('p95_latency_ms', 100.0))
 SELECT gate, v AS value, i AS incumbent, coalesce(CASE rule WHEN 'eq' THEN v = threshold WHEN 'ge' THEN v >= threshold WHEN 'le' THEN v <= threshold WHEN 'drop' THEN v >= i - threshold ELSE v <= i * (1 + threshold) END, false) AS passed
