@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, spread, trimmed
 from .graph import components
 
 TILE = 4096
@@ -160,7 +160,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     """vec_id, n_links, component_id, kept of every row."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_keyed, "vec_id long, key binary, vec binary, dim int")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(trimmed(_keyed), "vec_id long, key binary, vec binary, dim int")
     rows = scratch.write(rows, "rows")
     classes = rows.where("key IS NOT NULL AND vec_id IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
     classes = scratch.write(classes, "classes")
@@ -190,7 +190,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
                 batch = batch.append_column(name, column)
             yield batch
 
-    placed = scratch.write(classes.mapInArrow(place, "key binary, id long, weight long, vec binary, dim int, cell int, close array<double>, q binary, scale double, error double"), "placed")
+    placed = scratch.write(classes.mapInArrow(trimmed(place), "key binary, id long, weight long, vec binary, dim int, cell int, close array<double>, q binary, scale double, error double"), "placed")
     cells = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))  # at most PIVOTS rows a length
     placed = placed.join(cells, ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     key = ["dim", "cell", "part"]
@@ -224,7 +224,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     def work(of: DataFrame, columns: list[str]) -> DataFrame:
         body = tiles.select("tile", *columns)
         body_b = tiles.select(F.col("tile").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in columns))
-        return of.join(body, "tile").join(body_b, "tile_b").repartition(n, "tile", "tile_b").mapInArrow(_products(threshold), _FOUND)
+        return of.join(body, "tile").join(body_b, "tile_b").repartition(n, "tile", "tile_b").mapInArrow(trimmed(_products(threshold)), _FOUND)
 
     light = ["ids", "weights", "scales", "errors", "q"]
     first = scratch.write(work(pairs, light), "first")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK_BYTES, encoder, utf8_buffers
-from .common import Scratch, spread
+from .common import Scratch, spread, trimmed
 
 #: Longest code in bits; the decoding table has 2**LIMIT entries.
 LIMIT = 20
@@ -86,7 +86,7 @@ def runs(docs: DataFrame, definition: str, end_id: int, parts: int) -> DataFrame
         if flats:
             yield flush()
 
-    return ordered.mapInArrow(run, _RUNS)
+    return ordered.mapInArrow(trimmed(run), _RUNS)
 
 
 def counts(table: DataFrame, vocabulary: int) -> np.ndarray:
@@ -101,7 +101,7 @@ def counts(table: DataFrame, vocabulary: int) -> np.ndarray:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     out = np.zeros(vocabulary, np.int64)
-    for r in table.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in table.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
@@ -214,7 +214,7 @@ def write_files(table: DataFrame, length: np.ndarray, scratch: Scratch) -> tuple
                 bits, checkpoints = encode_ids(ids, code, length)
                 yield pa.record_batch([*row.columns[:5], pa.array([checkpoints], pa.list_(pa.int64())), pa.array([bits], pa.binary()), pa.array([zlib.crc32(bits)], pa.int64())], names=["part", "segment", "first", "doc_ids", "sizes", "checkpoints", "bits", "check"])
 
-    codes = scratch.write(table.mapInArrow(run, _CODES), "codes")
+    codes = scratch.write(table.mapInArrow(trimmed(run), _CODES), "codes")
     used = np.flatnonzero(length)
     book = scratch.write(spark.createDataFrame([(int(i), int(length[i])) for i in used], "id long, bits int").coalesce(1), "book")
     return codes, book
@@ -242,7 +242,7 @@ def read_files(codes: DataFrame, book: DataFrame, vocabulary: int) -> DataFrame:
                     names=["doc_id", "part", "before", "n_tokens", "ids", "ids_crc32"],
                 )
 
-    return codes.mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids binary, ids_crc32 long")
+    return codes.mapInArrow(trimmed(run), "doc_id long, part int, before long, n_tokens long, ids binary, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, definition: str, vocabulary: int, end_id: int = 1) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, spread, trimmed
 from .graph import components
 from .hashing import _BASE, scramble, slice_hashes
 from .words import blocks, word_runs
@@ -131,7 +131,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                     names=["doc_id", "text_hash", "n", "digest", "bands"],
                 )
 
-    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(run, _SIGNED)
+    return docs.select("doc_id", "text", text_hash().alias("text_hash")).mapInArrow(trimmed(run), _SIGNED)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = shingles(b, off, k)
                 yield pa.record_batch([pa.array([len(s) for s in sets], pa.int64()), _digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["n", "digest", "hashes"])
 
-    found = docs.select("text").mapInArrow(run, "n long, digest binary, hashes binary").where("digest IS NOT NULL")
+    found = docs.select("text").mapInArrow(trimmed(run), "n long, digest binary, hashes binary").where("digest IS NOT NULL")
     return found.select(_class_key().alias("id"), "hashes").dropDuplicates(["id"])
 
 
@@ -168,7 +168,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if keep:
                 yield batch.select([0, 1]).take(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _forest(ids: list[int], own: list[int], sets: list[np.ndarray], half: int, percent: int) -> tuple[list[int], list[int]]:
@@ -271,7 +271,7 @@ def _finish(known: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -
     left = scratch.write(known.join(mixed, "key").select("key", "id", "own", "tiles"), "left")
     used = scratch.write(sets.join(left.select("id").distinct(), "id").select("id", "hashes"), "used")
     rows = left.join(used, "id")
-    one = rows.where("tiles = 1").select("key", "id", "own", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_bucket_links(percent), "a long, b long")
+    one = rows.where("tiles = 1").select("key", "id", "own", "hashes").repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(_bucket_links(percent)), "a long, b long")
     large = mixed.where("tiles > 1")
     if not large.limit(1).count():
         return one
@@ -280,7 +280,7 @@ def _finish(known: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -
     pairs = large.select("key", "tiles", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"))
     pairs = pairs.select("key", "tile", F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("tile_b")).repartition(n, "key", "tile", "tile_b")
     body_b = body.select("key", F.col("tile").alias("tile_b"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "owns", "sizes", "sets")))
-    across = pairs.join(body, ["key", "tile"]).join(body_b, ["key", "tile_b"]).mapInArrow(_tile_links(percent), "a long, b long")
+    across = pairs.join(body, ["key", "tile"]).join(body_b, ["key", "tile_b"]).mapInArrow(trimmed(_tile_links(percent)), "a long, b long")
     return one.union(across)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK_BYTES, encoder, utf8_buffers
-from .common import Scratch, spread
+from .common import Scratch, spread, trimmed
 
 CAPACITY = 2048
 #: The linear program ends within this share of its bound.
@@ -79,7 +79,7 @@ def tokenised(docs: DataFrame, definition: str, capacity: int, end_id: int) -> D
                 )
                 lo = hi
 
-    return docs.select("doc_id", "text").mapInArrow(run, _TOKENS)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), _TOKENS)
 
 
 def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -426,4 +426,4 @@ def pack(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int
                 arrays.append(pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(ends), ids.buffers()[2]]))
             yield pa.record_batch(arrays, names=names[: len(arrays)])
 
-    return placed.mapInArrow(run, _PIECES + ", ids binary" * with_ids)
+    return placed.mapInArrow(trimmed(run), _PIECES + ", ids binary" * with_ids)

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import trimmed
 from .words import blocks
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -386,7 +387,7 @@ def find(docs: DataFrame) -> DataFrame:
                 each, extra = list(zip(*counts, strict=True)), list(zip(*more, strict=True))
                 yield pa.record_batch([ids.slice(lo, hi - lo), *(pa.array(c, pa.int64()) for c in each), pa.array(digests), pa.array(spans), *(pa.array(c, pa.int64()) for c in extra)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_secret", "n_spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
@@ -416,4 +417,4 @@ def mask_documents(docs: DataFrame) -> DataFrame:
                     cols.append(batch.column(f.name))
             yield pa.record_batch(cols, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)

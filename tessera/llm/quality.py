@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from . import rules
 from .hashing import slice_hashes
 from .words import blocks, per_doc, word_runs
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
                     names=["doc_id", "quality", "f", "x"],
                 )
 
-    got = picked.select("doc_id", "text", "n_chars", "quality").mapInArrow(run, "doc_id long, quality int, f binary, x binary").collect()
+    got = picked.select("doc_id", "text", "n_chars", "quality").mapInArrow(trimmed(run), "doc_id long, quality int, f binary, x binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["quality"], r["f"]))
     return Machine().fit([(np.frombuffer(r["f"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float), r["quality"]) for r in got])
 
@@ -173,7 +174,7 @@ def score(docs: DataFrame, machine: Machine, carry: list[str] | None = None) ->
                 part = batch.slice(lo, hi - lo)
                 yield pa.record_batch([*(part.column(f.name) for f in out.fields[:-1]), pa.array(p.astype(np.float64))], names=out.names)
 
-    return rows.mapInArrow(run, out)
+    return rows.mapInArrow(trimmed(run), out)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

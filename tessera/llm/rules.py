@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
 from . import words
 
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters"]
@@ -90,7 +91,7 @@ def measure(docs: DataFrame) -> DataFrame:
             for lo, hi, b, off in words.blocks(batch.column("text")):
                 yield pa.record_batch([ids.slice(lo, hi - lo), *(pa.array(x.astype(np.int64)) for x in _block(b, off))], names=["doc_id", *_MEASURES])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in _MEASURES))
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, " + ", ".join(f"{m} long" for m in _MEASURES))
 
 
 def ledger(docs: DataFrame) -> DataFrame:

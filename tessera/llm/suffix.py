@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread
+from .common import Scratch, spread, trimmed
 from .hashing import _powers, scramble
 from .words import blocks, slices
 
@@ -151,7 +151,7 @@ def phrases(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield settle()
 
-    return docs.mapInArrow(run, _PHRASES + ", kind short")
+    return docs.mapInArrow(trimmed(run), _PHRASES + ", kind short")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, most: int = 200_000) -> Iterator[pa.Table]:
@@ -306,15 +306,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     local = scratch.write(found.where("kind = 1").select("doc_id", "text_hash", F.col("at").alias("start"), ends), "local")
     parts = spread(spark) * 2
     firsts = found.where("kind = 0").drop("kind").repartition(parts, "trigger").sortWithinPartitions("trigger")
-    met = scratch.write(firsts.mapInArrow(_match, _PHRASES + ", kind short"), "met")
+    met = scratch.write(firsts.mapInArrow(trimmed(_match), _PHRASES + ", kind short"), "met")
     scratch.drop("phrases")
     across = met.where("kind = 1").select("doc_id", "text_hash", F.col("at").alias("start"), ends)
     wanted = met.where("kind = 2").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("trigger", "at", "lead", "size")).alias("wanted"))
     one = text.select(F.col("id").alias("doc_id"), "text_hash", "text")
     asked = one.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    dictionary = asked.mapInArrow(_fetch(width), _PHRASES.replace("phrase long, ", "") + ", bytes binary")
-    partial = dictionary.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(_order(width), "doc_id long, text_hash long, start int, end int")
+    dictionary = asked.mapInArrow(trimmed(_fetch(width)), _PHRASES.replace("phrase long, ", "") + ", bytes binary")
+    partial = dictionary.repartition(parts, "trigger").sortWithinPartitions("trigger").mapInArrow(trimmed(_order(width)), "doc_id long, text_hash long, start int, end int")
     partial = scratch.write(partial, "partial")
     runs = local.union(across).union(partial).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     whole = text.join(runs.select(F.col("doc_id").alias("id"), "text_hash", "runs"), ["id", "text_hash"], "left").select("doc_id", "text", "runs")
-    return whole.mapInArrow(_merge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    return whole.mapInArrow(trimmed(_merge), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
