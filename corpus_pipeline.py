@@ -3,10 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all
 but the last return the columns of documents. ``run`` writes each stage's result as
 Parquet to the shared folder and rereads it, which cuts the lineage.
+
+Defined results, besides what each stage says: an empty table gives an empty table; texts of
+any length are taken whole; columns beside those of documents go along unread, whatever
+their names (near-dedup needs them to be comparable, so no maps); repeated rows are
+rows of their own but in near-dedup.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,13 +26,34 @@ from tessera.llm.queries import definition
 from tessera.llm.words import blocks, word_runs
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _beside(stage: Stage) -> Stage:
+    """The stage with all columns that are not its own as one, so that their names clash with nothing."""
+
+    @functools.wraps(stage)
+    def held(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        extra = [c for c in docs.columns if c not in _OWN]
+        if not extra:
+            return stage(spark, docs, sf_dir)
+        out = stage(spark, docs.select(*(c for c in docs.columns if c in _OWN), F.struct(*extra).alias("beside")), sf_dir)
+        return out.select(*(F.col("beside")[c].alias(c) if c in extra else F.col(c) for c in docs.columns))
+
+    return held
+
+
+@_beside
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores at 0.5 or more. The machine learns
-    from the whole documents table's labelled rows, as op4 does."""
+    from the whole documents table's labelled rows, as op4 does. Null and empty texts have a
+    score like any other, and so have null doc_ids; a null n_chars is counted."""
     machine = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score(docs, machine, [c for c in docs.columns if c != "doc_id"]).where("score >= 0.5").select(docs.columns)
 
 
+@_beside
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, 0.8): the smallest id, of its texts
     in the group the one of least hash, of equal texts the least row. Texts without words are
@@ -40,8 +67,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return single.union(docs.where("doc_id IS NULL"))
 
 
+@_beside
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data masked."""
+    """Every row, its personal data masked and n_chars to match; a null text stays null."""
     return pii.mask_documents(docs)
 
 
@@ -78,18 +106,20 @@ def _cut(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+@_beside
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a document comes up to three times, cut at the mix's blocks."""
+    """The words that the mix takes: a document comes up to three times, cut at the mix's blocks.
+    Texts without words are not taken; null sources are one source."""
     mixed = mixing.mix(docs, carry=[c for c in docs.columns if c not in ("doc_id", "source")], keep_source=True)
     return _cut(mixed, docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids, with their ids."""
+    """Pieces of sequences of 2048 ids, with their ids; a null or empty text is its end id."""
     return pack(docs, definition("byte_bpe_50k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality_stage),
     ("MinHash near-dedup", dedup_stage),
     ("PII", pii_stage),
