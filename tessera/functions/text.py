@@ -40,19 +40,32 @@ def _fold(x: pd.Series) -> pd.Series:
 _OTHER = "[^\\x00-\\x7F\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u00ff]"
 
 
+@F.pandas_udf(StringType())
+def _nfkc_fold(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
+
+
+def _odd(x: Column) -> Column:
+    """Texts with such characters, the others as null; plain ASCII is known by its length in bytes."""
+    return F.when((F.octet_length(x) > F.length(x)) & x.rlike(_OTHER), x)
+
+
 def nfkc(x: Column) -> Column:
     """The compatible composed form."""
-    return F.coalesce(_nfkc(F.when(x.rlike(_OTHER), x)), x)
+    return F.coalesce(_nfkc(_odd(x)), x)
+
+
+def folded(x: Column) -> Column:
+    """The case-folded compatible form, by one function call."""
+    return F.coalesce(_nfkc_fold(_odd(x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
 
 
 def casefold(x: Column) -> Column:
-    """Full case folding."""
-    return F.coalesce(_fold(F.when(x.rlike(_OTHER), x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
+    """Full case folding alone."""
+    return F.coalesce(_fold(_odd(x)), F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
 
 
-def clean(x: Column) -> Column:
-    """NFKC; control characters go, blanks collapse, lines are stripped, blank lines are two at most."""
-    x = nfkc(x)
+def _tidy(x: Column) -> Column:
     x = F.regexp_replace(x, r"[\x00-\x08\x0B-\x1F]", "")
     x = F.regexp_replace(x, "[\u0085\u2028\u2029]", "\n")
     x = F.regexp_replace(x, r"[ \t]+", " ")
@@ -60,8 +73,14 @@ def clean(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", ""))
 
 
+def clean(x: Column) -> Column:
+    """NFKC; control characters go, blanks collapse, lines are stripped, blank lines are two at most."""
+    return _tidy(nfkc(x))
+
+
 def content_hash(x: Column) -> Column:
-    return F.sha2(casefold(clean(x)), 256)
+    """Of the clean text, case-folded; folding first is the same, as it leaves blanks and controls alone."""
+    return F.sha2(_tidy(folded(x)), 256)
 
 
 def quality_reason(x: Column, min_chars: int = 40, max_symbol_ratio: float = 0.5) -> Column:
@@ -79,11 +98,11 @@ def approx_tokens(x: Column) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    return F.regexp_extract_all(casefold(nfkc(x)), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(folded(x), F.lit(TOKEN), F.lit(0))
 
 
 def normalize(x: Column) -> Column:
-    return F.trim(F.regexp_replace(casefold(nfkc(x)), r"\s+", " "))
+    return F.trim(F.regexp_replace(folded(x), r"\s+", " "))
 
 
 def format_query(x: Column, tenant: Column | None = None) -> Column:

@@ -72,7 +72,8 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return R.bm25(_bench(s, d), _docs(s, d), 20), R.bm25(_bench(s, d), _docs(s, d), 20, 1.2, 0.75)
+    held = R.index(_bench(s, d), _docs(s, d), keep=True)
+    return R.bm25(_bench(s, d), _docs(s, d), 20, held=held), R.bm25(_bench(s, d), _docs(s, d), 20, 1.2, 0.75, held)
 
 
 RUNS_SQL = f"{bm25_sql('ra', 20)}, {bm25_sql('rb', 20, 1.2, 0.75)}"
@@ -97,8 +98,8 @@ def quota(s: SparkSession, d: str) -> DataFrame:
 
 def hybrid_rerank(s: SparkSession, d: str) -> DataFrame:
     """Fused candidates, scored by word overlap, blended."""
-    cand = R.rrf(list(_runs(s, d)))
-    a = R.bm25(_bench(s, d), _docs(s, d), 20).select("qid", "doc", F.col("score").alias("bm25"))
+    runs = _runs(s, d)
+    cand, a = R.rrf(list(runs)), runs[0].select("qid", "doc", F.col("score").alias("bm25"))
     t = cand.join(_bench(s, d).withColumnRenamed("text", "q"), "qid").join(_docs(s, d).select(F.col("doc_id").alias("doc"), "text"), "doc").join(a, ["qid", "doc"], "left")
     c = t.select("qid", F.col("doc").cast("string").alias("sid"), F.round(T.overlap(F.col("q"), F.col("text")), 6).alias("ce"), F.when(F.col("rank") <= 10, -F.col("rank") / 10).alias("gen"), "bm25", F.lit(0.5).alias("prior"))
     return R.blend(c).select("qid", "sid", "ce", "final", "rank")
