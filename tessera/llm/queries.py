@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, pii, quality, rules
+from . import audit, chat, embeddings, pii, quality, rules
 from .common import table
 from .huffman import token_files
 from .minhash import COMPONENT_SQL, near_duplicates
@@ -63,6 +63,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": rules.VERDICT_SQL,
     "op8_minhash": COMPONENT_SQL,
     "op9_embedding_dedup": embeddings.LINK_SQL,
+    "op11_filter_audit": audit.AUDIT_SQL,
 }
