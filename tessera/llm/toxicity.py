@@ -446,7 +446,7 @@ def choose(rows: list[tuple[str, int, int, int, int, int, int]], tried: int, lex
     if total is None or not total[1] or not total[2]:
         return [], [], []
     _, d0, d1, n0, n1, _, _ = total
-    beyond = 2 * math.log(max(tried, 2)) + 6
+    beyond = 2 * math.log(max(tried, 2)) + 2
     most: dict[str, int] = {}  # by stem, the occurrences of its commonest word
     kept = []
     for form, a0, a1, c0, c1, b0, b1 in rows:
