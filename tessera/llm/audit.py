@@ -39,15 +39,15 @@ _SYMBOL = np.isin(_CODE, np.frombuffer(b"#$%&*|", np.uint8))
 _FIRST = (_CODE & 0xC0) != 0x80
 
 
-def _verified(b: np.ndarray, start: np.ndarray, end: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the words i and j, pairwise, hold the same bytes."""
-    size = end[i] - start[i]
-    same = size == end[j] - start[j]
+def verified(b: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, from_: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether b[start:end] and other[from_:to], pairwise, are the same bytes."""
+    size = end - start
+    same = size == to - from_
     size = np.where(same, size, 0)
     ends = np.cumsum(size)
     if len(ends) and ends[-1]:
         step = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        differ = b[np.repeat(start[i], size) + step] != b[np.repeat(start[j], size) + step]
+        differ = b[np.repeat(start, size) + step] != other[np.repeat(from_, size) + step]
         same[np.repeat(np.arange(len(size)), size)[differ]] = False
     return same
 
@@ -59,7 +59,8 @@ def distinct_words(b: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.nd
     order = np.lexsort((h, doc))
     d, h = doc[order], h[order]
     agree = np.flatnonzero((d[1:] == d[:-1]) & (h[1:] == h[:-1]))
-    same = _verified(b, start, end, order[agree], order[agree + 1])
+    i, j = order[agree], order[agree + 1]
+    same = verified(b, start[i], end[i], b, start[j], end[j])
     out = np.bincount(doc, minlength=n) - np.bincount(d[agree[same]], minlength=n)
     for k in np.unique(d[agree[~same]]):  # a hash shared by different words: practically never
         at = np.flatnonzero(doc == k)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import audit, chat, embeddings, pii, quality, rules, toxicity
+from . import search as lexical
 from .common import table
 from .huffman import token_files
 from .minhash import COMPONENT_SQL, near_duplicates
@@ -67,6 +68,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lexical_search": op12_lexical_search,
     "op13_toxicity": op13_toxicity,
 }
 
@@ -92,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_minhash": COMPONENT_SQL,
     "op9_embedding_dedup": embeddings.LINK_SQL,
     "op11_filter_audit": audit.AUDIT_SQL,
+    "op12_lexical_search": lexical.SEARCH_SQL,
 }

@@ -25,11 +25,15 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 def word_runs(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each run of bytes other than ASCII white space."""
-    n = len(b)
+    return runs(~((b == 32) | ((b >= 9) & (b <= 13))), off)
+
+
+def runs(word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each run of marked bytes; a run ends with its document."""
+    n = len(word)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, z
-    word = ~((b == 32) | ((b >= 9) & (b <= 13)))
     prev = np.empty(n, bool)
     prev[0] = False
     prev[1:] = word[:-1]
