@@ -60,16 +60,17 @@ def resolve(wanted: DataFrame, registry: DataFrame, aliases: DataFrame, as_of: s
 
 
 def tier1(candidates: DataFrame, registry: DataFrame, tenant: str, roles: list[str], schema: int) -> DataFrame:
-    """Each candidate with the first rule that drops it, or `kept`."""
+    """Each candidate with the first rule that drops it, or `kept`; a null state, tenant or schema drops it too."""
     r = candidates.join(registry, "doc", "left")
     held = F.array(*[F.lit(x) for x in roles]).cast("array<string>")
-    acl = (F.col("tenant") == tenant) & ((F.size("roles") == 0) | F.arrays_overlap("roles", held))
+    roles_ = F.coalesce("roles", F.array().cast("array<string>"))
+    acl = F.coalesce((F.col("tenant") == tenant) & ((F.size(roles_) == 0) | F.arrays_overlap(roles_, held)), F.lit(False))
     reason = (
         F.when(F.col("state").isNull(), "missing")
         .when(F.col("state") == "TOMBSTONED", "tombstoned")
         .when(~F.col("state").isin("ACTIVE_COLD_START", "ACTIVE_LEARNED", "LOW_COVERAGE"), "not_servable")
         .when(~acl, "acl")
-        .when(F.col("schema") != schema, "schema")
+        .when(~F.col("schema").eqNullSafe(F.lit(schema)), "schema")
         .otherwise("kept")
     )
     return r.withColumn("reason", reason)

@@ -34,14 +34,14 @@ def n_words_sql(x: str) -> str:
     return rf"len(regexp_extract_all({x}, '\S+'))"
 
 
-def bm25_sql(name: str, k: int, k1: float = 0.9, b: float = 0.4) -> str:
-    """CTE `name` (qid, doc, score, rank) of the benchmark passages over the documents."""
+def bm25_sql(name: str, k: int, k1: float = 0.9, b: float = 0.4, docs: str = "documents", asked: str = "(SELECT item_id AS qid, text FROM benchmark)") -> str:
+    """CTE `name` (qid, doc, score, rank) of the benchmark passages (or `asked`) over the documents."""
     return rf"""
-{name}_t AS (SELECT doc_id AS doc, {toks('text')} AS t FROM documents),
+{name}_t AS (SELECT doc_id AS doc, {toks('text')} AS t FROM {docs}),
 {name}_p AS (SELECT doc, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc, len(t) AS dl, unnest(t) AS term FROM {name}_t) GROUP BY doc, term),
 {name}_s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_t),
 {name}_d AS (SELECT term, count(*) AS df FROM {name}_p GROUP BY term),
-{name}_q AS (SELECT DISTINCT item_id AS qid, unnest({toks('text')}) AS term FROM benchmark),
+{name}_q AS (SELECT DISTINCT qid, unnest({toks('text')}) AS term FROM {asked}),
 {name}_x AS (SELECT qid, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))), 6) AS score
   FROM {name}_q JOIN {name}_p USING (term) JOIN {name}_d USING (term), {name}_s GROUP BY qid, doc),
 {name} AS (SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc) AS rank FROM {name}_x WHERE score > 0) WHERE rank <= {k})"""

@@ -1,20 +1,13 @@
-"""Queries: the whole chain of a request, ingestion from pages to identifiers, hashed embeddings, trie snapshots."""
+"""Queries: ingestion from pages to identifiers, hashed embeddings, contents."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.functions import text as T
-from tessera.operators import decode as D
-from tessera.operators import documents as G
 from tessera.operators import quantize as Q
-from tessera.operators import registry as REG
-from tessera.operators import retrieve as R
-from tessera.plans import decoding as DEC
 from tessera.plans import lifecycle as L
 from tessera.sources import artifacts as A
 from tessera.sources import table
@@ -50,85 +43,6 @@ c AS (SELECT doc, CAST('0x' || substr(sha256(w), 1, 15) AS BIGINT) % {DIM} AS i,
 n AS (SELECT doc, sqrt(sum(x * x)) AS n FROM c GROUP BY doc) SELECT doc, i, round(x / greatest(n, 1e-9), 6) AS x FROM c JOIN n USING (doc) WHERE x <> 0"""
 
 
-# ------------------------------------------------------------ a request
-
-
-@dataclass(frozen=True)
-class Backends:
-    """What a request is answered with: documents, their texts, identifiers, the decoder."""
-
-    docs: DataFrame
-    texts: DataFrame  # (doc_id, text)
-    issued: DataFrame
-    scorer: D.Scorer
-    config: D.DecodeConfig
-    tenant: str = "a"
-    roles: tuple[str, ...] = ("guest",)
-    schema: str = "v1"
-
-
-def retrieve(queries: DataFrame, b: Backends, k: int = 10, pool: int = 40, quota: float = 0.4) -> tuple[DataFrame, DataFrame]:
-    """(qid, text, vec) -> the k best documents (qid, doc, channel, final, rank), and each candidate that
-    fell out with the reason.
-
-    Queries that name symbols or quote, and those whose decoding found nothing, are answered by
-    the lexical index; the others by both. Candidates are checked against the registry, merged by
-    document, ordered, freed of near duplicates, held to the quota of first codes, scored against
-    the text and blended."""
-    routed = queries.withColumn("route", T.classify(F.col("text")))
-    generative = D.decode(routed.where("route = 'semantic'").select("qid", "vec"), b.issued, b.scorer, b.config)
-    found = generative.select("qid", "doc", F.lit("generative").alias("channel"), F.col("score").alias("gen"), F.lit(None).cast("double").alias("bm25"), F.col("rank").alias("pos"))
-    lexical = R.bm25(queries.select("qid", "text"), b.texts, pool)
-    lexical = lexical.select("qid", "doc", F.lit("full_lexical").alias("channel"), F.lit(None).cast("double").alias("gen"), F.col("score").alias("bm25"), (F.col("rank") + 1_000).alias("pos"))
-    reg = b.docs.select("doc", "sid", "state", "tenant", "roles", "schema")
-    checked = REG.tier1(found.union(lexical), reg, b.tenant, list(b.roles), b.schema)
-    kept = checked.where("reason = 'kept'")
-    merged = G.merge_channels(kept.select("qid", "doc", "channel", "gen", "bm25", "pos")).join(reg.select("doc", "sid"), "doc")
-    ordered = G.collapse(G.preliminary(merged).withColumn("near_dup_group", F.lit(None).cast("long")))
-    few = R.quota_select(ordered, F.split("sid", r"\.")[0], pool, quota)
-    texts = few.join(queries.select("qid", F.col("text").alias("q")), "qid").join(b.texts.select(F.col("doc_id").alias("doc"), "text"), "doc", "left")
-    scored = texts.select("qid", "doc", "sid", "channel", F.round(T.overlap(F.col("q"), F.coalesce("text", F.lit(""))), 6).alias("ce"), "gen", "bm25", F.lit(0.5).alias("prior"))
-    best = R.blend(scored).where(F.col("rank") <= k).select("qid", "doc", "channel", "final", "rank")
-    return best, checked.where("reason <> 'kept'").select("qid", "doc", "channel", "reason")
-
-
-def _backends(s: SparkSession, d: str) -> Backends:
-    """Vectors and documents of one number are one document."""
-    issued = Q.allocate(L._codes(s, d))
-    k = F.col("doc")
-    state = F.when(k % 13 == 0, "TOMBSTONED").when(k % 17 == 0, "QUARANTINED").otherwise("ACTIVE_LEARNED")
-    docs = issued.select("doc", "sid", state.alias("state"), F.when(k % 11 == 0, "b").otherwise("a").alias("tenant"), F.array().cast("array<string>").alias("roles"), F.lit("v1").alias("schema"))
-    return Backends(docs, table(s, d, "documents").select("doc_id", "text"), issued, D.router(s, L._books(s, d)), DEC.CONFIG)
-
-
-def _requests(s: SparkSession, d: str) -> DataFrame:
-    """Every fiftieth document asks with its first line and its vector."""
-    text = table(s, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.split(F.coalesce("text", F.lit("")), "\n")[0].alias("text"))
-    return text.join(L._vectors(s, d).withColumnRenamed("doc", "qid"), "qid")
-
-
-def retrieve_chain(s: SparkSession, d: str) -> DataFrame:
-    return retrieve(_requests(s, d), _backends(s, d))[0]
-
-
-def dropped_candidates(s: SparkSession, d: str) -> DataFrame:
-    return retrieve(_requests(s, d), _backends(s, d))[1].groupBy("channel", "reason").agg(F.count("*").alias("n"))
-
-
-def explain_misses(s: SparkSession, d: str) -> DataFrame:
-    """Whether each request got its own document, and why not."""
-    b, asked = _backends(s, d), _requests(s, d)
-    beams, kept = D.beam(asked.select("qid", "vec"), b.issued, b.scorer, b.config)
-    levels = None
-    for n, rows in enumerate(kept, 1):
-        part = rows.select("qid", F.lit(n).alias("level"), "prefix")
-        levels = part if levels is None else levels.union(part)
-    pool = D.fan_out(beams, b.issued, b.config).select("qid", "doc", F.lit(1.0).alias("ce"))
-    best = retrieve(asked, b)[0]
-    out = G.diagnose(asked.select("qid", F.col("qid").alias("doc")), b.docs, best, b.issued.select("sid"), pool, levels, b.tenant, list(b.roles))
-    return out.groupBy("reason").agg(F.count("*").alias("n"))
-
-
 # ------------------------------------------------------------ ingestion
 
 
@@ -158,8 +72,5 @@ def content_store(s: SparkSession, d: str) -> DataFrame:
 
 
 register("hashed_vectors", hashed_vectors, HASHED_SQL)
-register("retrieve_chain", retrieve_chain)
-register("dropped_candidates", dropped_candidates)
-register("explain_misses", explain_misses)
 register("ingest_pages", ingest_pages)
 register("content_store", content_store, "SELECT DISTINCT sha256(text) AS hash, CASE WHEN doc_id % 3 <> 0 THEN 'blobs/' ELSE 'quarantine/' END || substr(sha256(text), 1, 2) || '/' || sha256(text) AS uri FROM documents WHERE text IS NOT NULL")
