@@ -18,9 +18,9 @@ from tessera.sources import table
 K = 16
 
 
-def _books(s: SparkSession, d: str) -> list[np.ndarray]:
+def _books(s: SparkSession, d: str, salt: str = "") -> list[np.ndarray]:
     v = table(s, d, "embeddings").where("embedding IS NOT NULL")
-    rows = v.orderBy(F.sha2(F.col("vec_id").cast("string"), 256)).limit(4 * K).select("embedding").collect()  # a sample of 64 by hash
+    rows = v.orderBy(F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256)).limit(4 * K).select("embedding").collect()  # a sample of 64 by hash
     return Q.frozen_codebooks([np.array(r[0], float) for r in rows], K)
 
 
