@@ -21,7 +21,7 @@ _LAST = (1 << LEVELS) - 1
 
 def _day(at: Column) -> Column:
     day = F.floor(F.unix_micros(at.cast("timestamp")) / 86_400_000_000).cast("long")
-    return F.greatest(F.lit(0), F.least(F.lit(_LAST), day))
+    return F.when(day.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(_LAST), day)))  # both pass nulls by
 
 
 def _spans(lo: Column, hi: Column) -> Column:

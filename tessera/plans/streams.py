@@ -14,7 +14,7 @@ from tessera.sources.lineage import checkpoint_dir
 from tessera.streaming.registry import Registry
 
 PARTS = 4
-PREFIX = F.concat_ws(".", (F.col("doc") % 7).cast("string"), (F.col("doc") % 3).cast("string"))
+PREFIX = "concat_ws('.', doc % 7, doc % 3)"
 
 
 def replayed(s: SparkSession, d: str, parts: int = PARTS) -> Registry:

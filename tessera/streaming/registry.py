@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import registry as REG
@@ -31,9 +31,9 @@ _ISSUED = "doc bigint, prefix string, ordinal bigint"
 
 
 class Registry:
-    """State under a folder that all machines share; `prefix` names each document's prefix of codes."""
+    """State under a folder that all machines share; `prefix` is the SQL of a document's prefix of codes."""
 
-    def __init__(self, spark: SparkSession, root: str, prefix: Column):
+    def __init__(self, spark: SparkSession, root: str, prefix: str):
         self.spark, self.root, self.prefix = spark, root.rstrip("/"), prefix
 
     # -------------------------------------------------- tables by batch
@@ -86,7 +86,7 @@ class Registry:
         state = self._write(rest.unionByName(new), "state", batch, _STATE)
 
         given = self._read("issued", _ISSUED, before)
-        births = state.where("born").join(given.select("doc"), "doc", "left_anti").withColumn("prefix", self.prefix)
+        births = state.where("born").join(given.select("doc"), "doc", "left_anti").withColumn("prefix", F.expr(self.prefix).cast("string"))
         counters = given.groupBy("prefix").agg((F.max("ordinal") + 1).alias("next_"))
         w = Window.partitionBy("prefix").orderBy("first_ts", "first_id", "doc")
         ids = births.withColumn("n_", F.row_number().over(w).cast("bigint") - 1).join(counters, "prefix", "left")
