@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import trimmed
@@ -109,8 +109,8 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("free"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("least"),
     )
-    first = by_text.groupBy("digest").agg(F.min("least.doc_id").alias("first"), F.count("*").alias("k"))
-    alone = by_text.join(first.where("k > 1").select("digest", "first"), "digest", "left")
+    # a text has a row for each part and kind of label at most, so its window is short
+    alone = by_text.withColumn("first", F.min("least.doc_id").over(Window.partitionBy("digest")))
     passing = F.col("free") + F.when(F.col("first").isNull() | (F.col("first") == F.col("least.doc_id")), F.coalesce("least.n", F.lit(0))).otherwise(0)
     split = alone.select("part", "fails", "good", "toxic", F.explode(F.array(F.struct(F.lit(0).alias("bit"), passing.alias("n")), F.struct(F.lit(E_BIT).alias("bit"), (F.col("n") - passing).alias("n")))).alias("x"))
     return split.where("x.n > 0").groupBy("part", (F.col("fails") + F.col("x.bit")).alias("mask"), "good", "toxic").agg(F.sum("x.n").alias("n"))
