@@ -17,9 +17,11 @@ are ignored. A conversation is one row of the result and has to fit a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STRETCH = 4096
+
 
 def escape(x: Column) -> Column:
     return F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), r"([\[<])(?=/?(?:INST\]|s>))", r"$1\\")
@@ -29,38 +31,47 @@ def unescape(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)\\(.)", "$1")
 
 
-def merge_turns(turns: Column) -> Column:
-    """Blocks of adjacent turns with one role: array<struct<role, texts>>."""
-    start = F.array().cast("array<struct<role:string,texts:array<string>>>")
+def _held(rows: DataFrame, **named: Column) -> DataFrame:
+    """Rows with further columns that are computed once a row: an expression used inside a lambda
+    would else be moved into it and computed for each element."""
+    for name, value in named.items():
+        rows = rows.select("*", F.explode(F.array(value)).alias(name))
+    return rows
+
 
-    def step(done: Column, t: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        fresh = F.concat(done, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when(last["role"] == t["role"], joined).otherwise(fresh)
+def merge_turns(rows: DataFrame) -> DataFrame:
+    """(conv_id, turns) -> (conv_id, blocks): blocks of adjacent turns with one role, array<struct<role, texts>>.
 
-    return F.aggregate(turns, start, step)
+    A block begins where the role differs from the one before and is sliced out once."""
+    n = F.size("turns")
+    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
+    held = _held(rows, begins=begins)
+    bounds = F.arrays_zip(F.col("begins").alias("a"), F.concat(F.slice("begins", F.lit(2), F.size("begins")), F.array(n + 1)).alias("b"))
+    own = lambda x: F.slice("turns", x["a"], x["b"] - x["a"])
+    block = lambda x: F.struct(F.element_at("turns", x["a"])["role"].alias("role"), F.transform(own(x), lambda t: t["text"]).alias("texts"))
+    return _held(held, bounds=bounds).select("conv_id", F.transform("bounds", block).alias("blocks"))
 
 
 def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans array<struct<start, end>>."""
+    """One row per conversation: conv_id, formatted, loss_spans array<struct<start, end>>.
+
+    Work grows with the turns: offsets are running sums over a conversation's pieces, which lie
+    in order where the conversation does."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", merge_turns(F.col("turns")).alias("blocks"))
+    turns = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    blocks = merge_turns(_held(turns.withColumnRenamed("turns", "t_"), turns=F.col("t_")).select("conv_id", "turns"))
 
     def pieces(b: Column) -> Column:
         head = F.struct(F.concat(F.lit("[INST]"), escape(b["role"]), F.lit("[/INST]")).alias("s"), F.lit(False).alias("loss"))
         texts = F.transform(b["texts"], lambda x, i: F.array(F.struct(F.when(i > 0, "<s>").otherwise("").alias("s"), F.lit(False).alias("loss")), F.struct(escape(x).alias("s"), (b["role"] == loss_role).alias("loss"))))
         return F.concat(F.array(head), F.flatten(texts), F.array(F.struct(F.lit("</s>").alias("s"), F.lit(False).alias("loss"))))
 
-    laid = blocks.select("conv_id", F.flatten(F.transform("blocks", pieces)).alias("pieces"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def walk(a: Column, p: Column) -> Column:
-        end = a["at"] + F.length(p["s"])
-        spans = F.when(p["loss"], F.concat(a["spans"], F.array(F.struct(a["at"].alias("start"), end.alias("end"))))).otherwise(a["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    return laid.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), F.aggregate("pieces", zero, walk, lambda a: a["spans"]).alias("loss_spans"))
+    laid = blocks.select("conv_id", F.posexplode(F.flatten(F.transform("blocks", pieces))).alias("pos", "p")).select("conv_id", "pos", "p.s", "p.loss")
+    upto = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    size = F.length("s").cast("long")
+    placed = laid.withColumn("end", F.sum(size).over(upto)).withColumn("start", F.col("end") - size)
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("p"), F.sort_array(F.collect_list(F.when(F.col("loss"), F.struct("start", "end")))).alias("loss_spans"))
+    return whole.select("conv_id", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"), "loss_spans")
 
 
 def read_turns(formatted: Column) -> Column:
@@ -75,9 +86,17 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+def read_loss(rows: DataFrame) -> DataFrame:
+    """Rows of (formatted, loss_spans) with `loss`: all text under the mask, unescaped. A span is looked up in
+    stretches of STRETCH characters, not counted off from the start of the text."""
+    held = _held(rows, stretches=F.regexp_extract_all("formatted", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))
+
+    def text(x: Column) -> Column:
+        first, last = F.floor(x["start"] / STRETCH).cast("int"), F.floor(x["end"] / STRETCH).cast("int")
+        near = F.array_join(F.slice("stretches", first + 1, last - first + 1), "")
+        return F.when(x["end"] == x["start"], "").otherwise(F.substring(near, (x["start"] % STRETCH + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+
+    return held.withColumn("loss", F.array_join(F.transform("loss_spans", lambda x: unescape(text(x))), "")).drop("stretches")
 
 
 DIGEST_SQL = r"""
@@ -104,7 +123,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     probe = spark.sql("SELECT -7L AS conv_id, t.turn, t.role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(probe)
-    out = format_chats(rows).withColumn("turns", read_turns(F.col("formatted"))).withColumn("loss", read_loss(F.col("formatted"), F.col("loss_spans")))
+    out = read_loss(format_chats(rows)).withColumn("turns", read_turns(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id",

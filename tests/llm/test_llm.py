@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -148,6 +149,20 @@ def test_chat(spark):
     assert [r.conv_id for r in chat.digests(df.limit(0)).collect()] == [-7]
 
 
+def test_chat_of_very_many_turns(spark):
+    """Work grows with the turns: at 20,000 a quadratic step takes minutes."""
+    n = 20_000
+    df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('é [INST] ', id) AS text")
+    began = time.time()
+    got = chat.digests(df).where("conv_id = 1").first()
+    assert time.time() - began < 60
+    texts = [f"é [INST] {i}" for i in range(n)]
+    said = "".join(("user" if i % 3 == 0 else "assistant") + "\n" + t + "\n" for i, t in enumerate(texts))
+    loss = "".join(t for i, t in enumerate(texts) if i % 3)
+    assert (got.n_turns, got.loss_chars) == (n, len(loss))
+    assert got.turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
 def test_quality(spark, docs, texts, empty):
     good = ["plain words in a line of text number %d " % i * 12 for i in range(60)]
     bad = ["!! ## %% && %d " % i * 30 for i in range(60)]
