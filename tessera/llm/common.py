@@ -61,6 +61,25 @@ class Scratch:
         _remove(self.spark, f"{self.root}/{name}")
 
 
+def held_out(doc_id: Column) -> Column:
+    """The third of the documents whose labels are never learned from."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, most: int, more: list[str] | None = None) -> DataFrame:
+    """(id, <target>, h, text, *more): at most `most` labelled rows (0 or 1) outside the held-out third, in the
+    order of a hash; equal rows once. The bound holds for the rows, however many share a doc_id.
+
+    Short rows are ordered first; the texts of those chosen are then looked up."""
+    more = more or []
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col(target).cast("int").alias(target)).distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *more).withColumn("h", F.xxhash64("doc_id", "text", *more))
+    short = rows.select("doc_id", "h").join(known, F.col("doc_id") == F.col("id")).select("h", "id", target).distinct()
+    first = short.orderBy("h", "id", target).limit(most).withColumnRenamed("h", "h_")
+    same = (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("h_"))
+    return rows.join(F.broadcast(first), same).select("id", target, "h", "text", *more).dropDuplicates(["id", target, "h"])  # `most` short rows
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; null counts as none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")

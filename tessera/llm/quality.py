@@ -12,7 +12,7 @@ scored on the executors with the model (``BUCKETS`` + bins rows) sent along.
 
 Defined results: a null or empty text has the statistics' lowest bins and gets a score
 like any other; null labels are not learned from; a doc_id with several labels counts
-with each; rows that share a doc_id are scored one by one; with no labels, or no table
+with each; equal rows teach once; rows that share a doc_id are scored one by one; with no labels, or no table
 rows, the score is the prior 0.5; other columns are never inputs.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import held_out, labelled, trimmed
 from . import rules
 from .hashing import slice_hashes
 from .words import blocks, per_doc, word_runs
@@ -43,10 +43,6 @@ _PUNCT = np.isin(np.arange(256), np.frombuffer(b"!?,;:.-\"'()", np.uint8))
 _END = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
-
-
 def _bin(x: np.ndarray, top: float) -> np.ndarray:
     """Bins of equal width on a root scale, 0 for nothing."""
     return np.minimum(BINS - 1, np.ceil(np.sqrt(np.clip(x / top, 0, 1)) * (BINS - 1))).astype(np.int64)
@@ -135,9 +131,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Machine:
     """Learns from a seeded choice of at most `train_rows` labelled rows outside the held-out third."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality"))
-    known = known.orderBy(F.xxhash64("id"), "id", "quality").limit(train_rows)
-    picked = _rows(docs).join(F.broadcast(known), F.col("doc_id") == F.col("id"))  # at most train_rows rows
+    picked = labelled(_rows(docs), labels, "quality", train_rows, ["n_chars"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,12 +140,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Mac
                 d, f, x = featurise(b, off, n_chars[lo:hi])
                 cut = np.searchsorted(d, np.arange(hi - lo + 1), "left")
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("quality").slice(lo, hi - lo), pa.array([f[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([x[s:e].astype(np.float32).tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary())],
-                    names=["doc_id", "quality", "f", "x"],
+                    [batch.column("id").slice(lo, hi - lo).cast(pa.int64()), batch.column("quality").slice(lo, hi - lo), pa.array([f[s:e].astype(np.int32).tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([x[s:e].astype(np.float32).tobytes() for s, e in zip(cut, cut[1:], strict=False)], pa.binary())],
+                    names=["id", "quality", "f", "x"],
                 )
 
-    got = picked.select("doc_id", "text", "n_chars", "quality").mapInArrow(trimmed(run), "doc_id long, quality int, f binary, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["quality"], r["f"]))
+    got = picked.select("id", "text", "n_chars", "quality").mapInArrow(trimmed(run), "id long, quality int, f binary, x binary").collect()  # at most train_rows rows
+    got.sort(key=lambda r: (r["id"], r["quality"], r["f"], r["x"]))
     return Machine().fit([(np.frombuffer(r["f"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float), r["quality"]) for r in got])
 
 

@@ -40,8 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, trimmed
-from .quality import held_out
+from .common import Scratch, held_out, labelled, trimmed
 from .hashing import scramble, slice_hashes
 from .words import blocks, word_runs
 
@@ -336,18 +335,6 @@ def _features(n: int, hits: list[tuple[int, int, int, int, float]], weight: list
 # ---------------------------------------------------------------- learning
 
 
-def _chosen(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """At most `train_rows` labelled rows outside the held-out third, in the order of a hash; equal rows once.
-
-    Short rows are ordered first; the texts of those chosen are then looked up."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("doc_id", "text"))
-    short = rows.select("doc_id", "h").join(known, F.col("doc_id") == F.col("id")).select("h", "id", "toxic").distinct()
-    first = short.orderBy("h", "id", "toxic").limit(train_rows).withColumnRenamed("h", "h_")
-    same = (F.col("doc_id") == F.col("id")) & (F.col("h") == F.col("h_"))
-    return rows.join(F.broadcast(first), same).select("id", "toxic", "h", "text").dropDuplicates(["id", "toxic", "h"])  # train_rows short rows
-
-
 def _copies(rows: DataFrame) -> list[int]:
     """Hashes of the chosen rows that are near copies of another with its label: one of each group
     teaches, so that a much copied text does not make all its words tell."""
@@ -486,7 +473,7 @@ def choose(rows: list[tuple[str, int, int, int, int, int, int]], tried: int, lex
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxic")
-    rows = scratch.write(_chosen(docs, labels, train_rows), "rows")
+    rows = scratch.write(labelled(docs, labels, "toxic", train_rows), "rows")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not total.get(0) or not total.get(1):
         return Model()

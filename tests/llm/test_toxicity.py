@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity as T
+from tessera.llm.common import labelled
 
 SCHEMA = "doc_id long, text string, lang string, score double, toxic int, h long, id long"
 
@@ -111,9 +112,9 @@ def test_the_bound_holds_for_rows_and_copies_teach_once(spark):
     rows = [(1, f"text {k} " + "w " * (k % 7), "en", 0.0, 0, 1, 2) for k in range(300)]
     docs = spark.createDataFrame(rows, SCHEMA)
     marks = spark.createDataFrame([(1, 1, 1), (1, 1, 1)], "doc_id long, quality int, toxic int")
-    assert T._chosen(docs, marks, 50).count() == 50
+    assert labelled(docs, marks, "toxic", 50).count() == 50
     same = spark.createDataFrame([(1, "a b c d e f g", "en", 0.0, 0, 1, 2)] * 100, SCHEMA)
-    assert T._chosen(same, marks, 50).count() == 1
+    assert labelled(same, marks, "toxic", 50).count() == 1
 
 
 def test_no_labels_and_empty_tables(spark):
