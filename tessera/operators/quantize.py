@@ -9,10 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import ids
+from tessera.sources.lineage import cut
 
 
 def frozen_codebooks(rows: list[np.ndarray], k: int, levels: int = ids.LEVELS) -> list[np.ndarray]:
@@ -94,6 +95,59 @@ def trie_edges(issued: DataFrame) -> DataFrame:
     return issued.select(e.alias("e")).select("e.*").distinct()
 
 
+def _before(nodes: DataFrame, depth: int, weight: Column, name: str) -> DataFrame:
+    """Nodes (c1..c<depth>) with the sum of `weight` over all nodes before them, in the order of their codes.
+
+    What lies before a node is what lies below the earlier siblings of each of its ancestors and of
+    itself. So every window is over the children of one node, 256 at most, and no task sorts all nodes."""
+    names = [f"c{i}" for i in range(1, depth + 1)]
+    out, terms = nodes, []
+    for k in range(1, depth + 1):
+        sums = nodes.groupBy(*names[:k]).agg(F.sum(weight).alias("w_"))
+        w = Window.partitionBy(*(names[: k - 1] or [F.lit(0)])).orderBy(names[k - 1]).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.join(sums.select(*names[:k], F.coalesce(F.sum("w_").over(w), F.lit(0)).alias(f"{name}_{k}")), names[:k])
+        terms.append(F.col(f"{name}_{k}"))
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return out.withColumn(name, total.cast("long")).drop(*(f"{name}_{k}" for k in range(1, depth + 1)))
+
+
+def numbered(issued: DataFrame, levels: int = 4) -> DataFrame:
+    """The trie as compressed rows: (depth, node, parent, code, first_child, children, first_leaf, leaves).
+
+    Nodes of a depth are numbered from 0 in the order of their codes, so the children of a node have
+    consecutive numbers from `first_child` on, and its identifiers, in the order of code and
+    tail, are `leaves` rows from `first_leaf` on. The root is node 0 of depth 0, its parent and code are
+    null; nodes of the last depth have no child nodes, and the number after the last as first_child
+    is left null. No identifier gives no row."""
+    names = [f"c{i}" for i in range(1, levels + 1)]
+    flat = issued.select(*[F.element_at("codes", i + 1).cast("int").alias(c) for i, c in enumerate(names)])
+    tables = []
+    for depth in range(1, levels + 1):
+        nodes = flat.groupBy(*names[:depth]).agg(F.count("*").alias("leaves"))
+        tables.append(cut(_before(_before(nodes, depth, F.lit(1), "node"), depth, F.col("leaves"), "first_leaf")))
+    root = flat.agg(F.count("*").alias("leaves")).where("leaves > 0").select(F.lit(0).cast("long").alias("node"), F.lit(0).cast("long").alias("first_leaf"), "leaves")
+    out = None
+    for depth, rows in enumerate([root, *tables]):
+        own = names[:depth]
+        if depth == 0:
+            placed = rows.withColumns({"parent": F.lit(None).cast("long"), "code": F.lit(None).cast("int")})
+        elif depth == 1:
+            placed = rows.withColumns({"parent": F.lit(0).cast("long"), "code": F.col("c1")})
+        else:
+            above = tables[depth - 2].select(*names[: depth - 1], F.col("node").alias("parent"))
+            placed = rows.join(above, names[: depth - 1]).withColumn("code", F.col(names[depth - 1]))
+        if depth < levels:
+            below = tables[depth].groupBy(*own).agg(F.min("node").alias("first_child"), F.count("*").alias("children"))
+            placed = placed.join(below, own) if own else placed.crossJoin(F.broadcast(below))  # one row each
+        else:
+            placed = placed.withColumns({"first_child": F.lit(None).cast("long"), "children": F.lit(0).cast("long")})
+        part = placed.select(F.lit(depth).cast("long").alias("depth"), "node", "parent", F.col("code").cast("long").alias("code"), "first_child", "children", "first_leaf", "leaves")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def find(issued: DataFrame, codes: list[int]) -> DataFrame:
     """The node of a prefix, as (depth, prefix, leaves): no row if it is not there."""
     prefix = ".".join(map(str, codes))

@@ -1,12 +1,17 @@
-"""Queries: approximate search over a partitioned index, fusion of a lexical and a dense run."""
+"""Queries: approximate search over a partitioned index, fusion of a lexical and a dense run, gates on what both reach."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.operators import approximate as X
+from tessera.operators import decode as D
+from tessera.operators import evaluate as E
+from tessera.operators import quantize as Q
 from tessera.operators import retrieve as R
 from tessera.plans import lifecycle as L
 from tessera.plans import retrieval as P
@@ -56,3 +61,48 @@ register("hybrid_search", hybrid_search, f"""WITH {P.bm25_sql('r', 20, asked=_LI
 p AS (SELECT qid, doc, 1.0 / (60 + rank) AS part, rank AS seen FROM r UNION ALL SELECT qid, doc, 1.0 / (60 + rank), 1000000 + rank FROM apx),
 f AS (SELECT qid, doc, round(sum(part), 9) AS score, min(seen) AS seen FROM p GROUP BY qid, doc)
 SELECT * FROM (SELECT qid, doc, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seen) AS rank FROM f) WHERE rank <= 20""")
+
+
+# ------------------------------------------------------------ gates
+
+
+def _measured(s: SparkSession, d: str, run: DataFrame, issued: bool = False) -> DataFrame:
+    """(metric, value) of a run against the labels' judgements, and of the identifiers."""
+    m = E.evaluate_run(run, P._dense_qrels(s, d))
+    rows = m.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in _METRICS.items()])).alias("x")).select("x.*")
+    if issued:
+        rows = rows.union(D.escape_rate(Q.allocate(L._codes(s, d))).select(F.lit("escape_rate"), "escape_rate"))
+    return rows
+
+
+_METRICS = {"ndcg@10": "ndcg_10", "recall@10": "recall_10", "mrr@10": "mrr_10"}
+
+
+def release_gates(s: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate index may take the exact search's place, by the gates of a release."""
+    return E.gate_results(_measured(s, d, approximate_search(s, d), issued=True), _measured(s, d, P.dense_exact(s, d)))
+
+
+def adapter_gates(s: SparkSession, d: str) -> DataFrame:
+    """The gates of an adapter for the exact search without an incumbent, the approximate one as floor; and the verdict's row."""
+    r = E.gate_results(_measured(s, d, P.dense_exact(s, d), issued=True), kind=E.ADAPTER, baseline=_measured(s, d, approximate_search(s, d)), offline=True)
+    v = E.verdict(r)
+    return r.select("gate", "value", "incumbent", "passed").union(v.select(F.concat(F.lit("all but "), "failures"), F.col("gates").cast("double"), F.lit(None).cast("double"), "passed"))
+
+
+def _gates_sql(kind: str, offline: bool, own: str, other: str, incumbent: bool) -> str:
+    """Gates of a kind; `own` and `other` name the measured run and what it is held against."""
+    names = "".join(f", ({c!r}, {m!r})" for m, c in _METRICS.items())[2:]
+    rows = ", ".join(f"('{a}', '{m}', '{rule}', CAST({t if incumbent or rule not in ('drop', 'ratio') else 0.0} AS DOUBLE))" for a, m, rule, t, kinds, off in E.GATES if kind in kinds.split(",") and (off or not offline))
+    measured = lambda name, run: re.sub(r"\b([ihm])\b(?= AS \()|(?<=FROM )i\b|(?<=JOIN )h\b", lambda x: f"{name}{x.group(0)}", P.METRICS_SQL.replace("dense", run))
+    value = lambda name: f"{name}v AS (SELECT metric, value FROM (UNPIVOT (SELECT {', '.join(f'round(avg({c}), 6)::DOUBLE AS {c}' for c in _METRICS.values())} FROM {name}m) ON COLUMNS(*) INTO NAME c VALUE value) JOIN (VALUES {names}) n(c, metric) USING (c))"
+    return f"""WITH {L.RQ}, {P.DENSE_SQL}, {APPROXIMATE_SQL.replace("v AS (", "av AS (", 1).replace("FROM v ", "FROM av ").replace("FROM v,", "FROM av,").replace("JOIN v ", "JOIN av ")}, {P.QRELS_SQL},
+{measured('o', own)}, {measured('p', other)}, {value('o')}, {value('p')},
+mv AS (SELECT * FROM ov UNION ALL SELECT 'escape_rate', round(avg((ordinal >= 255)::INT), 6) FROM issued),
+g(gate, metric, rule, threshold) AS (VALUES {rows}),
+z AS (SELECT gate, mv.value, {'pv.value' if incumbent else "CASE WHEN rule IN ('drop', 'ratio') THEN pv.value END"} AS incumbent, coalesce(CASE rule WHEN 'eq' THEN mv.value = threshold WHEN 'ge' THEN mv.value >= threshold WHEN 'le' THEN mv.value <= threshold WHEN 'drop' THEN mv.value >= pv.value - threshold ELSE mv.value <= pv.value * (1 + threshold) END, false) AS passed
+  FROM g LEFT JOIN mv USING (metric) LEFT JOIN pv USING (metric)) SELECT gate, value, incumbent, passed FROM z"""
+
+
+register("release_gates", release_gates, _gates_sql(E.FULL, False, "apx", "dense", True))
+register("adapter_gates", adapter_gates, _gates_sql(E.ADAPTER, True, "dense", "apx", False) + " UNION ALL SELECT 'all but ' || coalesce(string_agg(gate, ',' ORDER BY gate) FILTER (NOT passed), ''), count(*)::DOUBLE, NULL, bool_and(passed) FROM z")

@@ -71,6 +71,10 @@ def trie_nodes(s: SparkSession, d: str) -> DataFrame:
     return Q.trie_nodes(Q.allocate(_codes(s, d))).select(F.col("depth").cast("long").alias("depth"), "prefix", "children", "leaves")
 
 
+def trie_numbers(s: SparkSession, d: str) -> DataFrame:
+    return Q.numbered(Q.allocate(_codes(s, d)))
+
+
 def trie_edges(s: SparkSession, d: str) -> DataFrame:
     return Q.trie_edges(Q.allocate(_codes(s, d))).select(F.col("depth").cast("long").alias("depth"), "parent", F.col("code").cast("long").alias("code"), "child")
 
@@ -192,6 +196,22 @@ SELECT round(max(n) / (any_value(t) / {K}), 6) AS l1_max_mean, count(*) AS l1_us
 register("sid_codec", sid_codec, f"WITH {RQ} SELECT doc, {_P} || '.' || {_TAIL} AS sid, lower(printf('%02x%02x%02x%02x', c1, c2, c3, c4) || CASE WHEN ordinal < 255 THEN '' WHEN ordinal < 510 THEN 'ff' ELSE 'ffff' END || printf('%02x', ordinal % 255)) AS packed, (8 + c1) || ' ' || (264 + c2) || ' ' || (520 + c3) || ' ' || (776 + c4) || ' ' || (1032 + {_U}) AS tokens, {_P} || '.' || {_TAIL} AS round_trip, ordinal FROM issued")
 _KEYS = [("''", "c1"), ("CAST(c1 AS VARCHAR)", "c2"), ("c1 || '.' || c2", "c3"), ("c1 || '.' || c2 || '.' || c3", "c4"), (_P, _U)]
 register("trie_nodes", trie_nodes, f"WITH {RQ}, k AS (" + " UNION ALL ".join(f"SELECT {i} AS depth, {p} AS prefix, {n} AS nxt FROM issued" for i, (p, n) in enumerate(_KEYS)) + ") SELECT CAST(depth AS BIGINT) AS depth, prefix, count(DISTINCT nxt) AS children, count(*) AS leaves FROM k GROUP BY depth, prefix")
+def _numbers_sql() -> str:
+    """Nodes by depth, numbered in the order of their codes by a plain window."""
+    ctes, rows = [], ["SELECT CAST(0 AS BIGINT) AS depth, CAST(0 AS BIGINT) AS node, NULL::BIGINT AS parent, NULL::BIGINT AS code, CAST(0 AS BIGINT) AS first_child, (SELECT count(*) FROM n1) AS children, CAST(0 AS BIGINT) AS first_leaf, (SELECT count(*) FROM issued) AS leaves"]
+    for depth in range(1, 5):
+        keys = ", ".join(f"c{i}" for i in range(1, depth + 1))
+        ctes.append(f"n{depth} AS (SELECT {keys}, count(*) AS leaves, row_number() OVER (ORDER BY {keys}) - 1 AS node, coalesce(sum(count(*)) OVER (ORDER BY {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_leaf FROM issued GROUP BY {keys})")
+        above = ", ".join(f"c{i}" for i in range(1, depth))
+        parent = f"(SELECT node FROM n{depth - 1} p WHERE ({above.replace('c', 'p.c')}) = ({above.replace('c', 'n.c')}))" if depth > 1 else "0"
+        match = f"({keys.replace('c', 'k.c')}) = ({keys.replace('c', 'n.c')})"
+        child, number = (f"(SELECT min(node) FROM n{depth + 1} k WHERE {match})", f"(SELECT count(*) FROM n{depth + 1} k WHERE {match})") if depth < 4 else ("NULL", "0")
+        rows.append(f"SELECT {depth}, node, {parent}, c{depth}, {child}, {number}, first_leaf, leaves FROM n{depth} n")
+    names = ["depth", "node", "parent", "code", "first_child", "children", "first_leaf", "leaves"]
+    return f"WITH {RQ}, {', '.join(ctes)} SELECT {', '.join(f'CAST({x} AS BIGINT) AS {x}' for x in names)} FROM ({' UNION ALL '.join(rows)})"
+
+
+register("trie_numbers", trie_numbers, _numbers_sql())
 register("trie_edges", trie_edges, f"WITH {RQ} " + " UNION ALL ".join(f"SELECT DISTINCT CAST({i} AS BIGINT) AS depth, {_KEYS[i][0]} AS parent, CAST({_KEYS[i][1]} AS BIGINT) AS code, {_KEYS[i + 1][0]} AS child FROM issued" for i in range(4)))
 register("trie_validate", trie_validate, "SELECT count(*) FILTER (vec_id % 7 = 0 AND vec_id % 5 <> 0) AS missing, count(*) FILTER (vec_id % 7 <> 0 AND vec_id % 5 = 0) AS extra, count(*) FILTER (vec_id % 7 <> 0) AS leaves FROM embeddings")
 

@@ -178,19 +178,6 @@ def bm25_pairs(s: SparkSession, d: str) -> DataFrame:
     return R.scores_of(b.select("qid", (F.col("qid") * 3).alias("doc")), table(s, d, "documents"), b)
 
 
-def adapter_gates(s: SparkSession, d: str) -> DataFrame:
-    """Gates of an adapter without an incumbent, by what a training run measures; and the verdict's row."""
-    m = s.sql("SELECT * FROM VALUES ('valid_id_rate', 1.0D), ('ndcg@10', 0.70D), ('recall@10', 0.80D), ('mrr@10', 0.60D), ('held_out_doc_recall@10', 0.41D), ('old_doc_recall_regression_points', 1.2D), ('cold_doc_recall_ratio', 0.6D), ('ece', 0.01D), ('escape_rate', 0.002D) AS t(metric, value)")
-    floor = s.sql("SELECT * FROM VALUES ('ndcg@10', 0.699D), ('recall@10', 0.801D) AS t(metric, value)")
-    r = E.gate_results(m, kind=E.ADAPTER, baseline=floor, offline=True)
-    v = E.verdict(r)
-    return r.select("gate", "value", "incumbent", "passed").union(v.select(F.concat(F.lit("all but "), "failures"), F.col("gates").cast("double"), F.lit(None).cast("double"), "passed"))
-
-
-ADAPTER_SQL = """SELECT gate, CAST(value AS DOUBLE) AS value, CAST(incumbent AS DOUBLE) AS incumbent, passed FROM (VALUES ('valid_id_rate', 1.0, NULL, true), ('ndcg@10', 0.70, 0.699, true), ('recall@10', 0.80, 0.801, false), ('mrr@10', 0.60, NULL, false), ('held_out_doc_recall@10', 0.41, NULL, true),
-('old_doc_recall_regression', 1.2, NULL, false), ('cold_doc_recall', 0.6, NULL, true), ('ece', 0.01, NULL, true), ('stale_id_rate', NULL, NULL, false), ('escape_rate', 0.002, NULL, true), ('all but mrr@10,old_doc_recall_regression,recall@10,stale_id_rate', 10, NULL, false)) AS t(gate, value, incumbent, passed)"""
-
-
 def trie_lookup(s: SparkSession, d: str) -> DataFrame:
     """Identifiers of all documents in a trie of most, and the size of each one's prefix there."""
     issued = Q.allocate(L._codes(s, d))
@@ -200,12 +187,6 @@ def trie_lookup(s: SparkSession, d: str) -> DataFrame:
     return held.join(n, "prefix", "left").select("doc", "held", F.coalesce("n", F.lit(0)).alias("leaves"))
 
 
-def request_breaker(s: SparkSession, d: str) -> DataFrame:
-    """Calls turned away, by user: an error event is a failure."""
-    e = table(s, d, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("failed"))
-    return G.breaker(e, 2, 36_000.0).groupBy("key").agg(F.count_if("open").alias("refused"), F.count("*").alias("n"))
-
-
 register("snapshot_ids", snapshot_ids, f"WITH {DOCS_SQL} SELECT sid FROM docs WHERE schema = 'v1' AND state IN ('ACTIVE_COLD_START', 'ACTIVE_LEARNED', 'LOW_COVERAGE')")
 register("hard_delete", hard_delete, f"WITH {DOCS_SQL} SELECT doc, sid, CASE WHEN doc % 50 = 0 THEN 'TOMBSTONED' ELSE state END AS state, CASE WHEN doc % 50 <> 0 THEN title END AS title, CASE WHEN doc % 50 = 0 THEN 0 ELSE 1 END::BIGINT AS n_meta, CASE WHEN doc % 50 = 0 THEN (SELECT max(epoch) FROM docs) + row_number() OVER (PARTITION BY doc % 50 = 0 ORDER BY doc) ELSE epoch END AS epoch FROM docs")
 register("set_state", set_state, f"WITH {DOCS_SQL} SELECT CASE WHEN doc % 6 = 0 AND state <> 'TOMBSTONED' THEN 'LOW_COVERAGE' ELSE state END AS state, count(*) AS n FROM docs GROUP BY 1")
@@ -224,12 +205,10 @@ register("false_negatives", false_negatives, "WITH n AS (SELECT o_custkey % 50 A
 register("query_filter", query_filter)
 register("negative_assembly", negative_assembly)
 register("dedup_map", dedup_map)
-register("request_breaker", request_breaker)
 register("sequence_loss", sequence_loss, """WITH v AS (SELECT vec_id // 5 AS id, vec_id % 5 AS level, CAST(embedding AS DOUBLE[]) AS z, vec_id % len(embedding) AS t, (vec_id // 5) % 3 + 1 AS w FROM embeddings),
 p AS (SELECT *, list_max(z) + ln(list_sum(list_transform(z, lambda x: exp(x - list_max(z))))) AS lse FROM v),
 c AS (SELECT id, w, CASE WHEN level < 4 THEN 0.9 * (lse - z[t + 1]) + 0.1 * (lse - list_avg(z)) ELSE 0.5 * (lse - z[t + 1]) END AS ce FROM p), e AS (SELECT id, any_value(w) AS w, sum(ce) AS ce FROM c GROUP BY id) SELECT round(sum(ce * w) / sum(w), 6) AS loss FROM e""")
 _NEW = "(SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || ' ' || text ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 11 = 0)"
 register("bm25_updated", bm25_updated, "WITH " + P.bm25_sql("r", 10).replace("FROM documents)", f"FROM {_NEW})") + " SELECT qid, doc, score, rank FROM r")
 register("bm25_pairs", bm25_pairs, "WITH " + P.bm25_sql("r", 10) + " SELECT item_id AS qid, item_id * 3 AS doc, coalesce(score, 0) AS score FROM benchmark LEFT JOIN r_x ON qid = item_id AND doc = item_id * 3")
-register("adapter_gates", adapter_gates, ADAPTER_SQL)
 register("trie_lookup", trie_lookup, f"WITH {L.RQ} SELECT doc, doc % 7 <> 0 AS held, count(*) FILTER (doc % 7 <> 0) OVER (PARTITION BY c1, c2, c3, c4) AS leaves FROM issued")

@@ -142,20 +142,6 @@ def isotonic(s: SparkSession, d: str) -> DataFrame:
     return E.isotonic(p)
 
 
-def gates(s: SparkSession, d: str) -> DataFrame:
-    m = s.sql("SELECT * FROM VALUES ('valid_id_rate', 1.0D), ('ndcg@10', 0.70D), ('recall@10', 0.80D), ('mrr@10', 0.60D), ('held_out_doc_recall@10', 0.41D), ('ece', 0.051D), ('escape_rate', 0.002D), ('p95_latency_ms', 115.0D), ('cross_tenant_leaks', 0.0D) AS t(metric, value)")
-    i = s.sql("SELECT * FROM VALUES ('ndcg@10', 0.702D), ('recall@10', 0.82D), ('mrr@10', 0.60D), ('p95_latency_ms', 100.0D) AS t(metric, value)")
-    return E.gate_results(m, i)
-
-
-GATES_SQL = f"""
-WITH g(gate, metric, rule, threshold) AS (VALUES {", ".join(f"('{a}', '{b}', '{c}', CAST({t} AS DOUBLE))" for a, b, c, t, k, _ in E.GATES if E.FULL in k)}),
-m(metric, v) AS (VALUES ('valid_id_rate', 1.0::DOUBLE), ('ndcg@10', 0.70), ('recall@10', 0.80), ('mrr@10', 0.60), ('held_out_doc_recall@10', 0.41), ('ece', 0.051), ('escape_rate', 0.002), ('p95_latency_ms', 115.0), ('cross_tenant_leaks', 0.0)),
-i(metric, i) AS (VALUES ('ndcg@10', 0.702::DOUBLE), ('recall@10', 0.82), ('mrr@10', 0.60), ('p95_latency_ms', 100.0))
-SELECT gate, v AS value, i AS incumbent, coalesce(CASE rule WHEN 'eq' THEN v = threshold WHEN 'ge' THEN v >= threshold WHEN 'le' THEN v <= threshold WHEN 'drop' THEN v >= i - threshold ELSE v <= i * (1 + threshold) END, false) AS passed
-FROM g LEFT JOIN m USING (metric) LEFT JOIN i USING (metric)"""
-
-
 def duplicate_rate(s: SparkSession, d: str) -> DataFrame:
     return E.duplicate_rate(_docs(s, d).select(T.content_hash(F.col("text")).alias("h")), "h")
 
@@ -250,7 +236,6 @@ register("ece", ece, "WITH p AS (SELECT (doc_id * 37 % 101) / 100.0::DOUBLE AS p
 register("isotonic", isotonic, """WITH p AS (SELECT CAST(toxic AS VARCHAR) AS g, (doc_id * 37 % 41) / 40.0::DOUBLE AS x, sum(quality)::DOUBLE AS s, count(*) AS n FROM labels GROUP BY ALL),
 r AS (SELECT a.g, a.x AS lo, b.x AS hi, sum(c.s) / sum(c.n) AS m FROM p a JOIN p b ON a.g = b.g AND a.x <= b.x JOIN p c ON c.g = a.g AND c.x BETWEEN a.x AND b.x GROUP BY ALL),
 k AS (SELECT p.g, p.x, r.lo, min(r.m) AS m FROM p JOIN r ON r.g = p.g AND r.lo <= p.x AND r.hi >= p.x GROUP BY ALL) SELECT g, x, round(max(m), 6) AS fit FROM k GROUP BY g, x""")
-register("release_gates", gates, GATES_SQL)
 register("duplicate_rate", duplicate_rate, f"SELECT round(1 - count(DISTINCT {fold(clean_sql('text'))}) / count(*), 6) AS duplicate_rate FROM documents")
 register("content_hash", content_hash, f"SELECT doc_id, sha256({fold(clean_sql('text'))}) AS content_hash, sha256({clean_sql('text')}) AS clean_hash FROM documents")
 register("quality_filter", quality_filter, r"SELECT doc_id, CASE WHEN length(text) < 40 THEN 'too_short' WHEN length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(text) < 0.5 THEN 'mostly_symbols' ELSE 'ok' END AS reason FROM documents")

@@ -14,6 +14,7 @@ from tessera.operators import approximate as X
 from tessera.operators import fit as FIT
 from tessera.operators import history as H
 from tessera.operators import migration as M
+from tessera.operators import negatives as N
 from tessera.operators import quantize as Q
 from tessera.operators import registry as REG
 from tessera.operators import requests as A
@@ -230,3 +231,41 @@ def test_stages_can_be_run_again_and_gates_hold(spark, tmp_path):
     tight.plan(docs, v, _books())
     with pytest.raises(M.Refused, match="balance"):
         tight.prepopulate(reg)
+
+
+# ------------------------------------------------------------ tries and negatives
+
+
+def test_numbers_of_trie_nodes(spark):
+    r = random.Random(2)
+    codes = [[r.randint(0, 3) for _ in range(4)] for _ in range(200)]
+    rows = Q.numbered(spark.createDataFrame([(c,) for c in codes], "codes array<int>").repartition(5)).collect()
+    by = {(x.depth, x.node): x for x in rows}
+    sorted_ = sorted(codes)
+    for depth in range(1, 5):
+        nodes = sorted({tuple(c[:depth]) for c in codes})
+        above = sorted({tuple(c[: depth - 1]) for c in codes})
+        for n, prefix in enumerate(nodes):
+            x = by[depth, n]
+            assert (x.parent, x.code, x.leaves) == (above.index(prefix[:-1]), prefix[-1], sum(tuple(c[:depth]) == prefix for c in codes))
+            assert x.first_leaf == next(i for i, c in enumerate(sorted_) if tuple(c[:depth]) == prefix)
+            if depth < 4:
+                own = [by[depth + 1, x.first_child + i] for i in range(x.children)]
+                assert all(y.parent == n for y in own) and [y.code for y in own] == sorted({c[depth] for c in codes if tuple(c[:depth]) == prefix})
+    assert by[0, 0].leaves == 200 and len(rows) == 1 + sum(len({tuple(c[:d]) for c in codes}) for d in range(1, 5))
+    assert Q.numbered(spark.createDataFrame([], "codes array<int>")).count() == 0
+
+
+def test_negatives_and_slices(spark):
+    found = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.9), (1, 12, 3, 0.9), (2, 10, 1, 0.4), (2, 13, 2, 0.4), (3, None, 1, 0.5)], "qid long, doc long, rank long, confidence double")
+    gold = spark.createDataFrame([(1, 12), (2, 99), (3, 5), (4, 7)], "qid long, doc long")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(N.above_gold(found, gold)) == [(1, 10, 1), (1, 11, 2), (2, 10, 1), (2, 13, 2), (3, None, 1)]
+    assert rows(N.above_gold(found, gold, 1)) == [(1, 10, 1), (2, 10, 1), (3, None, 1)]
+    positives = spark.createDataFrame([(1, 10), (1, 10), (1, 12)], "qid long, doc long")
+    asked = []
+    got = N.searched(gold.select("qid"), positives, lambda q, k: asked.append(k) or found.select("qid", "doc", "rank"), 2)
+    assert rows(got.select("qid", "doc", "rank")) == [(1, 11, 1), (2, 10, 1), (2, 13, 2), (3, None, 1)] and asked == [4]
+    slices = {r.slice: r for r in N.by_slice(found, gold, spark.createDataFrame([(12,), (7,)], "doc long")).collect()}
+    assert slices["all"].queries == 4 and slices["all"].recall == 0.25 and slices["all"].mrr == round(1 / 12, 4)
+    assert slices["held_out"].queries == 2 and slices["held_out"].recall == 0.5 and slices["held_out"].confidence == 0.9 and slices["known"].first == 0.0
