@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import decode as D
 from tessera.operators import quantize as Q
+from tessera.operators import requests as A2
 from tessera.plans import serving as S
 from tessera.sources import artifacts as A
 
@@ -34,9 +35,10 @@ def test_retrieve(spark):
     issued = Q.allocate(Q.encode(v, books)).cache()
     k = F.col("doc")
     docs = issued.select("doc", "sid", F.when(k % 5 == 0, "TOMBSTONED").otherwise("ACTIVE_LEARNED").alias("state"), F.when(k % 7 == 0, "b").otherwise("a").alias("tenant"), F.array().cast("array<string>").alias("roles"), F.lit("v1").alias("schema"))
-    b = S.Backends(docs, spark.createDataFrame(texts, "doc_id long, text string"), issued, D.router(spark, books), D.DecodeConfig(beam=4, widened_beam=6))
+    b = A2.Backends(docs, spark.createDataFrame(texts, "doc_id long, text string"), issued, D.router(spark, books), D.DecodeConfig(beam=4, widened_beam=6))
     asked = spark.createDataFrame([(1, "w1 w2 w3", vec[1].tolist()), (2, '"w4 w5" w6', vec[2].tolist()), (3, "nothing known", vec[3].tolist())], "qid long, text string, vec array<double>")
-    best, dropped = S.retrieve(asked, b, 5)
+    got = A2.answer(asked, b, A2.Policy(k=5))
+    best, dropped = got.results, got.dropped
     rows = best.orderBy("qid", "rank").collect()
     by = {q: [x for x in rows if x.qid == q] for q in (1, 2, 3)}
     assert all([x.rank for x in by[q]] == list(range(1, len(by[q]) + 1)) and len(by[q]) <= 5 for q in by)
@@ -44,7 +46,7 @@ def test_retrieve(spark):
     assert all(x.channel == "full_lexical" for x in by[2]) and all(x.channel == "generative" for x in by[3]) and by[2] and by[3]
     assert all(by[q][i].final >= by[q][i + 1].final for q in by for i in range(len(by[q]) - 1))
     assert {x.reason for x in dropped.select("reason").distinct().collect()} <= {"tombstoned", "acl"}
-    assert S.retrieve(asked.limit(0), b)[0].count() == 0
+    assert A2.answer(asked.limit(0), b).results.count() == 0
 
 
 def test_ingest(spark):
