@@ -154,22 +154,3 @@ def costs(scenarios: DataFrame) -> DataFrame:
         "vectors_gb": vectors, "hnsw_gb": vectors * (1 + p["hnsw_overhead"]),
     }
     return scenarios.select("scenario", *(F.round(v, 6).alias(k) for k, v in figures.items()))
-
-
-def isotonic(points: DataFrame) -> DataFrame:
-    """Pool-adjacent-violators fit of (g, x, y, w): per group one task, over its distinct x."""
-    cells = points.groupBy("g", "x").agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("y"), F.sum("w").alias("w"))
-
-    def fit(pdf):  # noqa: ANN001, ANN202
-        pdf = pdf.sort_values("x")
-        blocks: list[list[float]] = []
-        for y, w in zip(pdf["y"], pdf["w"], strict=True):
-            blocks.append([y, w, 1])
-            while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-                y2, w2, n2 = blocks.pop()
-                y1, w1, n1 = blocks.pop()
-                blocks.append([(y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2, n1 + n2])
-        out = [b[0] for b in blocks for _ in range(int(b[2]))]
-        return pdf.assign(fit=out)[["g", "x", "fit"]]
-
-    return cells.groupBy("g").applyInPandas(fit, "g string, x double, fit double").withColumn("fit", F.round("fit", 6))

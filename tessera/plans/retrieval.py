@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.functions import text as T
+from tessera.operators import calibrate as CA
 from tessera.operators import evaluate as E
 from tessera.operators import retrieve as R
 from tessera.sources import table
@@ -139,7 +140,14 @@ def ece(s: SparkSession, d: str) -> DataFrame:
 
 def isotonic(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "labels").select(F.col("toxic").cast("string").alias("g"), ((F.col("doc_id") * 37 % 41) / 40.0).alias("x"), F.col("quality").cast("double").alias("y"), F.lit(1.0).alias("w"))
-    return E.isotonic(p)
+    return CA.isotonic(p)
+
+
+def isotonic_scores(s: SparkSession, d: str) -> DataFrame:
+    """Quality by length: fitted on the labelled documents of each language, read off for all documents."""
+    docs = table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("g"), F.least(F.coalesce(F.length("text"), F.lit(0)), F.lit(2000)).cast("double").alias("x"))
+    labelled = docs.join(table(s, d, "labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").withColumn("w", F.lit(1.0))
+    return CA.calibrated(docs, CA.isotonic_blocks(labelled)).select("doc_id", F.round("p", 6).alias("p"))
 
 
 def duplicate_rate(s: SparkSession, d: str) -> DataFrame:
@@ -236,6 +244,17 @@ register("ece", ece, "WITH p AS (SELECT (doc_id * 37 % 101) / 100.0::DOUBLE AS p
 register("isotonic", isotonic, """WITH p AS (SELECT CAST(toxic AS VARCHAR) AS g, (doc_id * 37 % 41) / 40.0::DOUBLE AS x, sum(quality)::DOUBLE AS s, count(*) AS n FROM labels GROUP BY ALL),
 r AS (SELECT a.g, a.x AS lo, b.x AS hi, sum(c.s) / sum(c.n) AS m FROM p a JOIN p b ON a.g = b.g AND a.x <= b.x JOIN p c ON c.g = a.g AND c.x BETWEEN a.x AND b.x GROUP BY ALL),
 k AS (SELECT p.g, p.x, r.lo, min(r.m) AS m FROM p JOIN r ON r.g = p.g AND r.lo <= p.x AND r.hi >= p.x GROUP BY ALL) SELECT g, x, round(max(m), 6) AS fit FROM k GROUP BY g, x""")
+register("isotonic_scores", isotonic_scores, """WITH d AS (SELECT doc_id, coalesce(lang, '') AS g, least(coalesce(length(text), 0), 2000)::DOUBLE AS x FROM documents),
+c AS (SELECT g, x, sum(quality)::DOUBLE AS s, count(*)::DOUBLE AS n FROM d JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY ALL),
+q AS (SELECT *, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn FROM c WINDOW w AS (PARTITION BY g ORDER BY x)),
+z AS (SELECT g, i, cs, cn FROM q UNION ALL SELECT DISTINCT g, 0, 0, 0 FROM q),
+m AS (SELECT a.g, a.i, b.i AS j, (b.cs - a.cs) / (b.cn - a.cn) AS m FROM z a JOIN z b ON a.g = b.g AND a.i < b.i),
+l AS (SELECT g, j AS i, max(m) AS m FROM m GROUP BY ALL), r AS (SELECT g, i, min(m) AS m FROM m GROUP BY ALL),
+e AS (SELECT q.*, coalesce(l.m <= r.m, true) AS ends FROM q JOIN l USING (g, i) LEFT JOIN r USING (g, i)),
+k AS (SELECT g, x, s, n, count(*) FILTER (ends) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS block FROM e),
+t AS (SELECT g, sum(x * n) / sum(n) AS x, sum(s) / sum(n) AS y FROM k GROUP BY g, block),
+u AS (SELECT g, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM t WINDOW w AS (PARTITION BY g ORDER BY x)), f AS (SELECT g, arg_min(y, x) AS y FROM t GROUP BY g)
+SELECT doc_id, round(CASE WHEN x0 IS NULL THEN f.y WHEN x1 IS NULL THEN y0 ELSE y0 + (d.x - x0) * ((y1 - y0) / (x1 - x0)) END, 6) AS p FROM d ASOF LEFT JOIN u ON d.g = u.g AND d.x >= u.x0 LEFT JOIN f ON f.g = d.g""")
 register("duplicate_rate", duplicate_rate, f"SELECT round(1 - count(DISTINCT {fold(clean_sql('text'))}) / count(*), 6) AS duplicate_rate FROM documents")
 register("content_hash", content_hash, f"SELECT doc_id, sha256({fold(clean_sql('text'))}) AS content_hash, sha256({clean_sql('text')}) AS clean_hash FROM documents")
 register("quality_filter", quality_filter, r"SELECT doc_id, CASE WHEN length(text) < 40 THEN 'too_short' WHEN length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) / length(text) < 0.5 THEN 'mostly_symbols' ELSE 'ok' END AS reason FROM documents")
