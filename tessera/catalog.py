@@ -29,4 +29,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["bm25_topk"](spark, sf_dir)
 
 
-from tessera.plans import decoding, history, indexes, lifecycle, migration, more, negatives, registry, requests, retrieval, serving, streams  # noqa: E402, F401  (the plans register themselves)
+from tessera.plans import builds, decoding, history, indexes, lifecycle, migration, more, negatives, registry, requests, retrieval, serving, streams  # noqa: E402, F401  (the plans register themselves)
