@@ -56,7 +56,8 @@ def checked(cands: DataFrame, corpus: DataFrame, keep: int = 10) -> DataFrame:
     toks = both.select("doc", "pos", "text", "found", T.tokens(F.coalesce("text", F.lit(""))).alias("t"), T.tokens(F.coalesce("body", F.lit(""))).alias("u"))
     grams = toks.select("doc", "pos", "text", "found", T.ngrams(F.col("t"), 6).alias("a"), T.ngrams(F.col("u"), 6).alias("b"))
     leaks = F.when(F.size("a") == 0, False).otherwise(F.size(F.array_intersect("a", "b")) / F.size("a") > 0.5)
-    return C.filter_queries(grams.select("doc", "pos", "text", "found", leaks.alias("leaks")), keep)
+    flagged = cut(grams.select("doc", "pos", "text", "found", leaks.alias("leaks")))  # the fold must not take the n-grams in
+    return C.filter_queries(flagged, keep)
 
 
 def random_pool(corpus: DataFrame, size: int = 8) -> DataFrame:
