@@ -77,7 +77,8 @@ def negatives(rows: DataFrame, corpus: DataFrame, pools: DataFrame, shares: dict
     own = pools.where("row_id IS NOT NULL").join(asked, ["doc", "row_id"]).select("doc", "row_id", "source", "other", "pos")
     every = wide.unionByName(own).where("doc <> other").join(twins, "doc").join(twins.select(F.col("doc").alias("other"), F.col("twin").alias("t_")), "other")
     fair = every.where(~F.coalesce(F.col("twin") == F.col("t_"), F.lit(False)))
-    picked = C.assemble(fair.select(F.struct("doc", "row_id").alias("qid"), "source", F.col("other").alias("doc"), "pos"), shares, total)
+    fair = cut(fair.select(F.struct("doc", "row_id").alias("qid"), "source", F.col("other").alias("doc"), "pos"))  # assembling reads it once a source
+    picked = C.assemble(fair, shares, total)
     named = picked.join(corpus.select("doc", "codes", "ordinal"), "doc")
     lists = named.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("place", "doc", "codes", "ordinal"))).alias("n"))  # at most `total` of a row
     return lists.select("qid.doc", "qid.row_id", F.transform("n", lambda x: F.struct(x["doc"].alias("doc"), x["codes"].alias("codes"), x["ordinal"].alias("ordinal"))).alias("negatives"))

@@ -35,7 +35,7 @@ def _build(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     turns = table(s, d, "conversations").where("role = 'user'")
     logs = turns.select(F.col("conv_id").alias("doc"), F.col("turn").alias("qid"), "text", F.col("turn").alias("ts"))
     every = F.lit(None).cast("string").alias("row_id")
-    near = TR.siblings(issued).select("doc", every, F.lit("prefix_sibling").alias("source"), F.col("sibling").alias("other"), (F.lit(3) - F.col("level")).alias("pos"))
+    near = cut(TR.siblings(issued)).select("doc", every, F.lit("prefix_sibling").alias("source"), F.col("sibling").alias("other"), (F.lit(3) - F.col("level")).alias("pos"))
     alike = each.select("qid", F.col("doc").alias("home"), (F.col("qid") * 2 + F.col("n")).alias("p")).join(hits.where("rank <= 20"), "qid")
     lexical = alike.select(F.col("home").alias("doc"), F.concat(F.lit("synthetic_query-"), "p").alias("row_id"), F.lit("bm25").alias("source"), F.col("doc").alias("other"), F.col("rank").alias("pos"))
     pools = near.unionByName(lexical).unionByName(B.random_pool(issued))
