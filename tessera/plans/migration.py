@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
+from tessera.functions import ids
 from tessera.operators import migration as M
 from tessera.operators import quantize as Q
 from tessera.plans import lifecycle as L
@@ -34,7 +35,7 @@ def _planned(s: SparkSession, d: str) -> tuple[M.Migration, dict[str, DataFrame]
 
 
 def migration_plan(s: SparkSession, d: str) -> DataFrame:
-    return _planned(s, d)[0].read("plan", "mapping").select("doc", "old_sid", "new_sid")
+    return _planned(s, d)[0].read("plan", "mapping").select("doc", ids.short_text(F.col("old_sid")).alias("old_sid"), ids.short_text(F.col("new_sid")).alias("new_sid"))
 
 
 def migration_report(s: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,8 @@ def migration_cutover(s: SparkSession, d: str) -> DataFrame:
         t = m.cutover(["ann", "bob"])
     n = t["aliases"].groupBy("doc").agg(F.count("*").alias("aliases"), F.max("sid").alias("alias"))
     h = t["history"].groupBy("doc").agg(F.count("*").alias("versions"), F.max(F.when(F.col("valid_to").isNull(), F.col("sid"))).alias("open_sid"))
-    return t["docs"].join(n, "doc", "left").join(h, "doc").select("doc", "sid", "schema", F.coalesce("aliases", F.lit(0)).alias("aliases"), "alias", "versions", "open_sid")
+    shown = [ids.short_text(F.col(c)).alias(c) for c in ("sid", "alias", "open_sid")]  # as the SQL states them
+    return t["docs"].join(n, "doc", "left").join(h, "doc").select("doc", shown[0], "schema", F.coalesce("aliases", F.lit(0)).alias("aliases"), shown[1], "versions", shown[2])
 
 
 def migration_counters(s: SparkSession, d: str) -> DataFrame:

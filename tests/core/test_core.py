@@ -164,3 +164,13 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_full_prefix(spark):
+    codes = spark.range(1000).select(F.col("id").alias("doc"), *[F.lit(3).alias(f"c{i}") for i in range(1, 5)])
+    rows = Q.allocate(codes).select("doc", "sid", "tail", F.hex("packed").alias("raw"), ids.ordinal(F.col("tail")).alias("back"), ids.short_text(F.col("sid")).alias("short")).orderBy("doc").collect()
+    assert [r.back for r in rows] == list(range(1000)) and len({r.sid for r in rows}) == len({r.raw for r in rows}) == 1000
+    assert [r.tail for r in rows] == sorted(r.tail for r in rows) and max(len(r.tail) for r in rows) == 7
+    assert rows[764].short == rows[764].sid == "3.3.3.3.255.255.254" and rows[800].short == "3.3.3.3.255.255.35"
+    far = spark.createDataFrame([(765 + 255**4 - 1,)], "n long").select(ids.long_tail(F.col("n")).alias("t"))
+    assert far.first().t == [255, 255, 255, 254, 254, 254, 254] and far.select(ids.ordinal(F.col("t"))).first()[0] == 765 + 255**4 - 1
