@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import catalog  # noqa: F401  (the plans register themselves)
+from tessera.functions import text as T
 from tessera.operators import approximate as X
 from tessera.operators import fit as FIT
 from tessera.operators import history as H
@@ -269,3 +270,26 @@ def test_negatives_and_slices(spark):
     slices = {r.slice: r for r in N.by_slice(found, gold, spark.createDataFrame([(12,), (7,)], "doc long")).collect()}
     assert slices["all"].queries == 4 and slices["all"].recall == 0.25 and slices["all"].mrr == round(1 / 12, 4)
     assert slices["held_out"].queries == 2 and slices["held_out"].recall == 0.5 and slices["held_out"].confidence == 0.9 and slices["known"].first == 0.0
+
+
+def test_words_of_a_text_are_its_tokens(spark):
+    texts = ["", "It's A_b 9x\tOK\x1cgo\x00z", "Straße ÉTÉ ﬁne x² Ⅷ İstanbul", "naïvé 日本 ｆｕｌｌ １２", "ΣΑΣ ĳ ſt"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string").select("i", "text", T.tokens(F.col("text")).alias("t")).collect()
+    assert all([w.decode() for w in T.token_list(r.text)] == r.t for r in rows)
+
+
+def test_lexical_search_takes_the_best_of_every_block(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, None if i % 50 == 7 else " ".join(r.choice(words, r.integers(0, 12)))) for i in range(300)], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(i, " ".join(r.choice([*words, "none"], r.integers(0, 5)))) for i in range(40)], "qid long, text string")
+    n, avgdl = docs.count(), docs.where("text IS NOT NULL").agg(F.avg(F.size(T.tokens(F.col("text"))))).first()[0]
+    stats = spark.createDataFrame([(n, avgdl)], "n long, avgdl double")
+    plain = R.top_k(R.bm25_scores(asked, docs, held=(R.index(asked, docs)[0], stats)).where("score > 0"), 7).select("qid", "doc", "score", "rank")
+    for name, value in (("LEXICAL_BLOCK", 9), ("ASKED", 4), ("TILE", 16)):
+        monkeypatch.setattr(R, name, value)
+    got = R.bm25(asked, docs, 7)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()  # no pair of a query and a document is merged by a shuffle
+    assert sorted(tuple(x) for x in got.collect()) == sorted(tuple(x) for x in plain.collect())
+    twice = R.kept(asked, docs.union(docs.where("doc_id = 5")))
+    assert twice.n == n + 1 and twice.rows.where("doc = 5").count() == 1
