@@ -44,16 +44,31 @@ def _spans(lo: Column, hi: Column) -> Column:
 def held_at(wanted: DataFrame, history: DataFrame) -> DataFrame:
     """wanted (sid, at), history (sid, doc, valid_from, valid_to) -> (sid, at, doc, valid_from).
 
-    An equality join: an interval stands at the few aligned stretches that make it up, an instant
-    asks at the one stretch of each level that it lies in, and the two meet on (identifier,
-    level, number). Neither long intervals nor much asked identifiers multiply rows."""
+    An equality join: an interval stands at the few aligned stretches of whole days that make it up, an
+    instant asks at the one stretch of each level that it lies in, and the two meet on (identifier,
+    level, number). Of all intervals that hold throughout a stretch only the one that counts goes on, so
+    rows are bounded by stretches, however many intervals overlap. Days that an interval holds in part
+    meet the instants of that day one by one; of intervals with the same ends one goes on."""
     asked = wanted.select("sid", "at").distinct()
-    since, until = F.coalesce(_day(F.col("valid_from")), F.lit(0)), F.coalesce(_day(F.col("valid_to")), F.lit(_LAST))
-    spans = history.select("sid", "doc", "valid_from", "valid_to", F.explode(_spans(since, until)).alias("s")).select("sid", "doc", "valid_from", "valid_to", "s.level", "s.n")
+    since, until = _day(F.col("valid_from")), _day(F.col("valid_to"))
+    midnight = lambda c: F.col(c).isNull() | (F.pmod(F.unix_micros(F.col(c).cast("timestamp")), F.lit(86_400_000_000)) == 0)
+    inside = lambda c: F.col(c).isNull() | F.unix_micros(F.col(c).cast("timestamp")).between(86_400_000_000, _LAST * 86_400_000_000 - 1)  # noqa: E731  (days that are numbered)
+    own = history.where("sid IS NOT NULL").groupBy("sid", "valid_from", "valid_to").agg(F.max("doc").alias("doc"))
+    own = own.withColumns({
+        "lo": F.coalesce(since, F.lit(0)), "hi": F.coalesce(until, F.lit(_LAST)), "from_whole": midnight("valid_from") & inside("valid_from"), "to_whole": midnight("valid_to") & inside("valid_to"),
+    })
+    first = F.when(F.col("valid_from").isNull() | F.col("from_whole"), F.col("lo")).otherwise(F.col("lo") + 1)
+    last = F.when(F.col("valid_to").isNull(), F.col("hi")).otherwise(F.col("hi") - 1)
+    rank = F.struct(F.col("valid_from").isNotNull().alias("k"), "valid_from", "doc")
+    whole = own.withColumns({"first": first, "last": last}).where("first <= last").select("sid", rank.alias("b"), F.explode(_spans(F.col("first"), F.col("last"))).alias("s"))
+    whole = whole.groupBy("sid", "s.level", "s.n").agg(F.max("b").alias("b"))
+    days = F.array_distinct(F.filter(F.array(F.when(~F.col("from_whole"), F.col("lo")), F.when(F.col("valid_to").isNotNull() & ~F.col("to_whole"), F.col("hi"))), lambda x: x.isNotNull()))
+    part = own.select("sid", rank.alias("b"), "valid_from", "valid_to", F.explode(days).alias("day"))
     levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
-    points = asked.where("sid IS NOT NULL AND at IS NOT NULL").select("sid", "at", levels).withColumn("n", _shifted(F.col("at")))
-    met = points.join(spans, ["sid", "level", "n"]).where("(valid_from IS NULL OR valid_from <= at) AND (valid_to IS NULL OR at < valid_to)")
-    best = met.groupBy("sid", "at").agg(F.max(F.struct(F.col("valid_from").isNotNull().alias("k"), "valid_from", "doc")).alias("b"))
+    there = asked.where("sid IS NOT NULL AND at IS NOT NULL")
+    met = there.select("sid", "at", levels).withColumn("n", _shifted(F.col("at"))).join(whole, ["sid", "level", "n"]).select("sid", "at", "b")
+    some = there.withColumn("day", _day(F.col("at"))).join(part, ["sid", "day"]).where("(valid_from IS NULL OR valid_from <= at) AND (valid_to IS NULL OR at < valid_to)").select("sid", "at", "b")
+    best = met.union(some).groupBy("sid", "at").agg(F.max("b").alias("b"))
     return asked.join(best, ["sid", "at"], "left").select("sid", "at", F.col("b.doc").alias("doc"), F.col("b.valid_from").alias("valid_from"))
 
 
