@@ -293,3 +293,29 @@ def test_lexical_search_takes_the_best_of_every_block(spark, monkeypatch):
     assert sorted(tuple(x) for x in got.collect()) == sorted(tuple(x) for x in plain.collect())
     twice = R.kept(asked, docs.union(docs.where("doc_id = 5")))
     assert twice.n == n + 1 and twice.rows.where("doc = 5").count() == 1
+
+
+def test_trailing_share_reads_each_event_once(spark):
+    r = random.Random(5)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(minutes=30 * r.randrange(300)), r.choice(["error", "view", None])) for i in range(400)] + [(900, None, "error")]
+    got = {x.event_id: (x.share, x.n) for x in REG.trailing_share(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string"), "event_type = 'error'").collect()}
+    for i, at, _ in rows[:-1]:
+        held = [k for _, t, k in rows[:-1] if dt.timedelta(0) <= at - t <= dt.timedelta(hours=24)]
+        known = [k == "error" for k in held if k is not None]
+        assert got[i] == (round(sum(known) / len(known), 6) if known else None, len(held))
+    plan = REG.trailing_share(spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string"), "event_type = 'error'")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(got) == 400 and "RangeFrame" not in plan
+
+
+def test_history_keeps_one_interval_a_stretch(spark):
+    r = random.Random(6)
+    at = lambda: r.choice([dt.datetime(1970, 1, 1), dt.datetime(1960, 5, 1), dt.datetime(2200, 1, 1), dt.datetime(2024, 1, 1) + dt.timedelta(hours=r.choice([0, 24, 24, 7]) * r.randrange(40))])
+    hist = [("a", i, None if i % 9 == 0 else at(), None if i % 7 == 0 else at()) for i in range(300)]
+    asked = [("a", at()) for _ in range(80)]
+    h = spark.createDataFrame(hist, "sid string, doc long, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    out = H.held_at(spark.createDataFrame(asked, "sid string, at timestamp_ntz"), h)
+    low = dt.datetime.min
+    for x in out.collect():
+        holds = [(f is not None, f or low, d) for _, d, f, t in hist if (f is None or f <= x["at"]) and (t is None or x["at"] < t)]
+        assert x.doc == (max(holds)[2] if holds else None)
