@@ -49,8 +49,8 @@ def _unit(rows: list[list[float]]) -> np.ndarray:
 
 def nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The n centroids of each row with the greatest product, ties to the lesser."""
-    s = np.round(x @ centroids.T, 9)
-    return np.argsort(-s, axis=1, kind="stable")[:, :n]
+    parts = [np.argsort(-np.round(x[lo : lo + BLOCK] @ centroids.T, 9), axis=1, kind="stable")[:, :n] for lo in range(0, max(1, len(x)), BLOCK)]
+    return np.concatenate(parts)
 
 
 def centroids(vectors: DataFrame, cells: int, rounds: int) -> np.ndarray:
@@ -122,8 +122,9 @@ def search(queries: DataFrame, index: Index, k: int = 10, probes: int = 8, exclu
         return spark.createDataFrame([], "qid long, doc long, score double, rank long")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):  # as many rows as probes come of each
+                batch = whole.slice(lo, 64)
                 x = _unit(batch.column(1).to_pylist())
                 near = nearest(x, c, probes)
                 own = np.repeat(np.arange(len(x)), near.shape[1])
@@ -134,8 +135,8 @@ def search(queries: DataFrame, index: Index, k: int = 10, probes: int = 8, exclu
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 qid, docs = np.array([q["qid"] for q in row["q"]]), np.array(row["docs"])
                 dim = c.shape[1]
                 s = np.round(np.frombuffer(b"".join(q["vec"] for q in row["q"])).reshape(-1, dim) @ np.frombuffer(row["vecs"]).reshape(-1, dim).T, 9)
@@ -145,9 +146,7 @@ def search(queries: DataFrame, index: Index, k: int = 10, probes: int = 8, exclu
                 own = np.repeat(np.arange(len(qid)), at.shape[1])
                 value = s[own, at.ravel()]
                 keep = np.isfinite(value)
-                out.append((qid[own[keep]], docs[at.ravel()[keep]], value[keep]))
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-            yield pa.record_batch([pa.array(x) for x in cols], names=["qid", "doc", "score"])
+                yield pa.record_batch([pa.array(x) for x in (qid[own[keep]], docs[at.ravel()[keep]], value[keep])], names=["qid", "doc", "score"])
 
     pairs = index.tiles.join(blocks, "cell").select("docs", "vecs", "q")
     found = pairs.mapInArrow(best, "qid long, doc long, score double")

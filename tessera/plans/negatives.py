@@ -18,8 +18,7 @@ def dense_negatives(s: SparkSession, d: str) -> DataFrame:
     """The ten nearest vectors of another label for every fiftieth one."""
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vec"), "label")
     asked = v.where("doc % 50 = 0").withColumnRenamed("doc", "qid")
-    positives = asked.select("qid", "label").join(v.select("doc", "label"), "label").select("qid", "doc")
-    return N.searched(asked.select("qid", "vec"), positives, lambda q, k: R.dense(q, v, k), 10).select("qid", "doc", "rank")
+    return R.dense(asked, v, 10, apart="label").select("qid", "doc", "rank")  # its label's vectors are a query's positives
 
 
 def _gold(s: SparkSession, d: str) -> DataFrame:

@@ -319,3 +319,17 @@ def test_history_keeps_one_interval_a_stretch(spark):
     for x in out.collect():
         holds = [(f is not None, f or low, d) for _, d, f, t in hist if (f is None or f <= x["at"]) and (t is None or x["at"] < t)]
         assert x.doc == (max(holds)[2] if holds else None)
+
+
+def test_dense_search_apart_from_a_group(spark):
+    r = np.random.default_rng(8)
+    rows = [(i, r.standard_normal(4).round(1).tolist(), None if i % 23 == 0 else i % 3) for i in range(700)]
+    v = spark.createDataFrame(rows, "doc long, vec array<double>, label int").repartition(3)
+    asked = v.where("doc % 50 = 0").withColumnRenamed("doc", "qid")
+    got = R.dense(asked, v, 6, apart="label").collect()
+    x = np.array([a for _, a, _ in rows])
+    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+    for i in range(0, 700, 50):
+        other = [j for j in range(700) if None not in (rows[i][2], rows[j][2]) and rows[i][2] != rows[j][2]]
+        want = sorted(other, key=lambda j: (-round(float(x[i] @ x[j]), 9), j))[:6]
+        assert [g.doc for g in sorted(got, key=lambda g: g.rank) if g.qid == i] == want
