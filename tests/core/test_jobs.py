@@ -333,3 +333,8 @@ def test_dense_search_apart_from_a_group(spark):
         other = [j for j in range(700) if None not in (rows[i][2], rows[j][2]) and rows[i][2] != rows[j][2]]
         want = sorted(other, key=lambda j: (-round(float(x[i] @ x[j]), 9), j))[:6]
         assert [g.doc for g in sorted(got, key=lambda g: g.rank) if g.qid == i] == want
+
+
+def test_entities_that_are_cut_off_stay(spark):
+    rows = spark.createDataFrame([("<title>a &amp;&amp</title>&lt;&ampx; &#65;&#x42; &copy &nope; &amp;lt;",)], "x string")
+    assert rows.select(T.html_to_text_closed(F.col("x"))).first()[0] == "a &&amp<&ampx; AB &copy &nope; &lt;"
