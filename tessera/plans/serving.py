@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,27 +19,39 @@ from tessera.sources import artifacts as A
 from tessera.sources import table
 
 DIM = 64
+ROWS = 512  # texts whose words are counted at once
 
 
 def hash_embedding(docs: DataFrame, dim: int = DIM) -> DataFrame:
     """(doc, text) -> (doc, vec): words fall into buckets with a sign by their hash; of unit length.
 
-    Words are counted before anything else, so a word's hash is taken once for each document
-    that holds it; null and empty texts have the zero vector."""
-    words = docs.select("doc", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(T.TOKEN), F.lit(0)).alias("w"))
-    count = words.select("doc", F.explode("w").alias("w")).groupBy("doc", "w").agg(F.count("*").alias("n"))
-    h = F.sha2("w", 256)
-    bucket = (F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(h, 16, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    cells = count.select("doc", bucket.alias("b"), (sign * F.col("n")).alias("x")).groupBy("doc", "b").agg(F.sum("x").alias("x"))
-    held = cells.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))  # `dim` cells at most
-    full = docs.select("doc").join(held, "doc", "left").withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0)).cast("double")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return full.select("doc", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-9))).alias("vec"))
+    Words are counted where their text is, so nothing is shuffled; a word's hash is taken once a batch.
+    Null and empty texts have the zero vector; every row has that of its own text."""
+    words = docs.select("doc", F.array_join(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(T.TOKEN), F.lit(0)), " ").alias("w"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = pc.split_pattern(batch.column(1), " ")
+            w = lists.flatten().dictionary_encode()
+            known = w.dictionary.to_pylist()
+            first = np.frombuffer(b"".join([hashlib.sha256(x.encode()).digest() for x in known]), ">u8")[::4].astype(np.uint64)
+            bucket = ((first >> np.uint64(4)) % np.uint64(dim)).astype(np.int64)  # of 15 hex digits
+            sign = (1.0 - 2.0 * (first & np.uint64(1))) * [x != "" for x in known]  # of the next one; a text without words is one empty piece
+            at, n = w.indices.to_numpy(), lists.value_lengths().to_numpy()
+            end = np.cumsum(n)
+            for lo in range(0, len(batch), ROWS):
+                part = n[lo : lo + ROWS]
+                i = at[end[lo] - n[lo] : end[lo + len(part) - 1]]
+                x = np.bincount(np.repeat(np.arange(len(part)) * dim, part) + bucket[i], sign[i], len(part) * dim).reshape(-1, dim)
+                vec = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+                ends = pa.array(np.arange(0, vec.size + 1, dim, dtype=np.int32))
+                yield pa.record_batch([batch.column(0).slice(lo, ROWS), pa.ListArray.from_arrays(ends, pa.array(vec.ravel()))], names=["doc", "vec"])
+
+    return words.mapInArrow(run, f"doc {docs.schema['doc'].dataType.simpleString()}, vec array<double>")
 
 
 def hashed_vectors(s: SparkSession, d: str) -> DataFrame:
-    v = hash_embedding(table(s, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    v = hash_embedding(table(s, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text"))
     return v.select("doc", F.posexplode("vec").alias("i", "x")).where("x <> 0").select("doc", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 

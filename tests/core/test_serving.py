@@ -1,6 +1,8 @@
 """The chain of a request, ingestion and artefacts on small tables."""
 
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -104,3 +106,20 @@ def test_rows(spark, tmp_path):
     assert A.load_options(spark, str(tmp_path / "a.json"), str(tmp_path / "b.json")) == {"x": {"y": 5, "z": 2}, "w": [2]}
     c = spark.createDataFrame([("a", True), ("a", True), ("a", False), (None, True)], "text string, trusted boolean")
     assert sorted(r.uri.split("/")[0] for r in A.contents(c).collect()) == ["blobs", "quarantine"]
+
+
+def test_hash_embedding_by_the_definition_and_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROWS", 3)
+    r = np.random.default_rng(2)
+    texts = ["", None, "...", "Ärger Straße x_1 ΑΣ 東京", *(" ".join(f"W{i}," for i in r.integers(0, 30, r.integers(1, 200))) for _ in range(20)), ""]
+    got = S.hash_embedding(spark.createDataFrame(list(enumerate(texts)), "doc long, text string").repartition(2), 16)
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc: r.vec for r in got.collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        want = [0] * 16
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = hashlib.sha256(w.encode()).hexdigest()
+            want[int(h[:15], 16) % 16] += -1 if int(h[15], 16) % 2 else 1
+        n = max(math.sqrt(sum(x * x for x in want)), 1e-9)
+        assert got[i] == [x / n for x in want]
