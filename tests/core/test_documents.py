@@ -1,6 +1,7 @@
 """Documents, requests and curation on small hand-made tables."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import curation as C
 from tessera.operators import documents as G
+from tessera.operators import retrieve as R
+from tessera.plans import registry as REG
 
 
 def _docs(spark):
@@ -183,3 +186,27 @@ def test_losses(spark):
     assert got.n == len(hinges) and got.loss == pytest.approx(math.fsum(hinges) / len(hinges), abs=1e-6)
     p = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "name string, value double")
     assert C.proximal(p, p.withColumn("value", F.col("value") + 2)).first().distance == 8.0
+
+
+def test_query_filter_takes_all_sentences(spark, tmp_path):
+    few = " ".join(f"word{i} only{i}." for i in range(14))
+    many = " ".join(["same words here."] * 3 + [f"plain{i} here." for i in range(30)] + ["a sentence of more than six words leaks."])
+    rows = [(0, few), (50, many), (100, None), (150, ""), (7, "word0 word0 word0 only0")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc: tuple(r)[1:] for r in REG.query_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: (14, 0, 0, 0, 10), 50: (34, 2, 0, 0, 10), 150: (1, 0, 0, 1, 0)}
+    leak = spark.createDataFrame([(1, "a b c d e f g", ["a b c d e f", "a b", None, "x b c d e f y"])], "doc long, body string, parts array<string>")
+    assert [(r.n_tokens, r.leaks) for r in C.leaking(leak).orderBy("pos").collect()] == [(6, True), (2, False), (None, None), (7, False)]
+
+
+def test_round_trip_is_that_of_the_search(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, range(1, 61), k=r.randint(1, 30))) for _ in range(300)]
+    texts += [texts[5]] * 9 + [None, "", "Straße ÉTÉ"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asks = [(f"{i}-{n}", i, " ".join((t or "none").split()[:n])) for i, t in enumerate(texts) for n in (1, 3, 8)] + [("other", 4, "not there"), ("strange", 999, "w1")]
+    q = spark.createDataFrame(asks, "qid string, doc long, text string")
+    for k in (1, 5, 50):
+        found = R.bm25(q.select("qid", "text"), docs, k).withColumnRenamed("doc", "got").join(q, "qid").where("doc = got")
+        assert {x.qid for x in R.round_trip(q, docs, k).collect()} == {x.qid for x in found.collect()}
