@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.operators import curation as C
 from tessera.operators import documents as G
 from tessera.operators import retrieve as R
+from tessera.plans import more as MORE
 from tessera.plans import registry as REG
 
 
@@ -210,3 +211,10 @@ def test_round_trip_is_that_of_the_search(spark):
     for k in (1, 5, 50):
         found = R.bm25(q.select("qid", "text"), docs, k).withColumnRenamed("doc", "got").join(q, "qid").where("doc = got")
         assert {x.qid for x in R.round_trip(q, docs, k).collect()} == {x.qid for x in found.collect()}
+
+
+def test_query_checks_takes_all_documents(spark, tmp_path):
+    rows = [(1, "one two three four five six seven\nrest"), (2, "short line\nmore"), (3, ""), (4, None), (50, "fifty\nx"), (None, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in MORE.query_checks(spark, str(tmp_path)).collect()}
+    assert got == {(1, 7, True, True), (2, 2, False, True), (3, 0, False, False), (4, None, None, False), (50, 1, False, True)}
